@@ -227,7 +227,7 @@ _OUTLIERS = {
     with_parts(
         ["prices", "entity"],
         f"""select entity_id, {day('trade_date')} as trade_date, round(daily_return, 6) as daily_return,
-                   round(z_score, 4) as z_score, status, dimension_key from outl""",
+                   round(z_score, 4) + 0.0 as z_score, status, dimension_key from outl""",
         _OUTLIERS,
     )
 )

@@ -25,7 +25,8 @@ def shown(df: DataFrame) -> DataFrame:
             case T.TimestampType() | T.TimestampNTZType():
                 column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
             case T.DecimalType() | T.DoubleType() | T.FloatType():
-                column = F.round(column.cast("double"), 6)
+                # Adding zero turns a rounded -0.0 into 0.0.
+                column = F.round(column.cast("double"), 6) + F.lit(0.0)
             case T.IntegerType() | T.ShortType() | T.ByteType() | T.BooleanType():
                 column = column.cast("bigint")
             case T.ArrayType():

@@ -248,21 +248,15 @@ def long_short_portfolios(
     each map task before the shuffle, so a cohort of any size sends a bounded number of rows; that
     the ranks reach `min_cohort` proves the cohort is big enough.
     """
-    legs = panel.select(
-        "mode",
-        "date",
-        "ticker",
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit("long").alias("side"),
-                    (-F.col("earnings_yield")).alias("first"),
-                    F.col("ordinal").alias("second"),
-                ),
-                F.struct(F.lit("short"), F.col("earnings_yield"), -F.col("ordinal")),
-            )
-        ),
-    )
+
+    def leg_row(side: str, first: Column, second: Column) -> Column:
+        return F.struct(
+            F.lit(side).alias("side"), first.alias("first"), second.alias("second")
+        )
+
+    best_first = leg_row("long", -F.col("earnings_yield"), F.col("ordinal"))
+    worst_first = leg_row("short", F.col("earnings_yield"), -F.col("ordinal"))
+    legs = panel.select("mode", "date", "ticker", F.inline(F.array(best_first, worst_first)))
     leg = Window.partitionBy("mode", "date", "side")
     return (
         legs.withColumn("rank", F.row_number().over(leg.orderBy("first", "second")))

@@ -13,6 +13,11 @@ from hindcast.operators import factor
 from hindcast.session import cut_lineage
 
 
+def _facts(t: Tables) -> DataFrame:
+    """The quarterly fact table, stored as a load leaves it: the panels read it several times."""
+    return cut_lineage(views.quarterly_facts(t))
+
+
 @query(
     with_parts(
         ["ttm"],
@@ -21,7 +26,7 @@ from hindcast.session import cut_lineage
     )
 )
 def ttm_panel(t: Tables) -> DataFrame:
-    panel = factor.ttm_panel(views.quarterly_facts(t), REBALANCE_DATES, views.now())
+    panel = factor.ttm_panel(_facts(t), REBALANCE_DATES, views.now())
     return panel.withColumn("accessions", F.col("facts.accession_no")).drop("facts")
 
 
@@ -33,13 +38,13 @@ def ttm_panel(t: Tables) -> DataFrame:
     )
 )
 def shares_panel(t: Tables) -> DataFrame:
-    panel = factor.latest_fact_panel(views.quarterly_facts(t), REBALANCE_DATES, views.now())
+    panel = factor.latest_fact_panel(_facts(t), REBALANCE_DATES, views.now())
     return panel.drop("fact_id", "accession_no")
 
 
 def _panel(t: Tables) -> DataFrame:
     return factor.earnings_yield_panel(
-        views.quarterly_facts(t),
+        _facts(t),
         views.price_facts(t),
         views.entity_ticker(t),
         views.universe(t),

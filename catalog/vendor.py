@@ -18,9 +18,11 @@ def _log(t: Tables, rows: DataFrame, body: Column, source: str = "edgar") -> Dat
     return rows.select(
         "payload_id",
         F.lit(source).alias("source"),
-        F.lit("companyfacts").alias("endpoint"),
+        F.lit("companyfacts" if source == "edgar" else "history").alias("endpoint"),
         F.create_map(F.lit("ticker"), F.col("ticker")).alias("request_params"),
-        F.lit("2024-02-01 00:00:00").cast("timestamp").alias("fetched_at"),
+        (F.col("fetched_at") if "fetched_at" in rows.columns else F.lit("2024-02-01 00:00:00"))
+        .cast("timestamp")
+        .alias("fetched_at"),
         F.lit(200).alias("http_status"),
         F.sha2(body, 256).alias("content_sha256"),
         body.cast("binary").alias("body"),
@@ -171,6 +173,9 @@ def _lines(t: Tables, source: str) -> DataFrame:
         F.col("l_extendedprice").alias("price"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("adjusted"),
         F.col("l_quantity").alias("volume"),
+        F.date_add(
+            F.col("l_shipdate").cast("date"), (3 + F.col("l_orderkey") % 30).cast("int")
+        ).alias("fetched_at"),
         F.lit(source).alias("source"),
     )
 

@@ -32,7 +32,9 @@ class Tables:
         self.directory = directory
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        setattr(self, name, table)
+        return table
 
 
 def now() -> Column:
@@ -198,12 +200,12 @@ def price_facts(t: Tables) -> DataFrame:
 def quarterly_stg(t: Tables) -> DataFrame:
     """Quarterly income, restated once, and share counts per supplier, from `lineitem`."""
     quarter = F.trunc(F.col("l_shipdate").cast("date"), "quarter")
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     per_quarter = t.lineitem.groupBy(
         F.col("l_suppkey").alias("entity_id"), quarter.alias("period_start")
     ).agg(
-        F.sum(F.when(F.col("l_returnflag") != "R", price).otherwise(0)).alias("original"),
-        F.sum(price).alias("restated"),
+        F.sum(F.when(F.col("l_returnflag") != "R", cents).otherwise(0)).alias("original"),
+        F.sum(cents).alias("restated"),
         (F.count(F.lit(1)) + 1000).alias("shares"),
     )
     reports = F.array(
@@ -211,14 +213,14 @@ def quarterly_stg(t: Tables) -> DataFrame:
             F.struct(
                 F.lit(metric).alias("metric_code"),
                 F.lit(version).alias("version"),
-                F.col(value).cast(schemas.VALUE_TYPE).alias("value"),
+                (F.col(value).cast("decimal(20,0)") / scale).cast(schemas.VALUE_TYPE).alias("value"),
                 F.lit(unit).alias("unit"),
                 F.lit(delay).alias("delay"),
             )
-            for metric, version, value, unit, delay in [
-                ("net_income", "1", "original", "USD", 30),
-                ("net_income", "2", "restated", "USD", 200),
-                ("shares_outstanding_diluted", "1", "shares", "shares", 30),
+            for metric, version, value, scale, unit, delay in [
+                ("net_income", "1", "original", 100, "USD", 30),
+                ("net_income", "2", "restated", 100, "USD", 200),
+                ("shares_outstanding_diluted", "1", "shares", 1, "shares", 30),
             ]
         ]
     )
@@ -246,4 +248,7 @@ def quarterly_stg(t: Tables) -> DataFrame:
 
 
 def quarterly_facts(t: Tables) -> DataFrame:
-    return chain.fundamental_facts(quarterly_stg(t), entity(t), source="edgar", lag_days=1)
+    """Two reports at most per key, so there are no hot keys to look for."""
+    return chain.fundamental_facts(
+        quarterly_stg(t), entity(t), source="edgar", lag_days=1, hot_key_rows=None
+    )

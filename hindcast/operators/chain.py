@@ -54,16 +54,37 @@ def dedupe_accessions(
     return rows.groupBy(*grain).agg(first.alias("__first")).select(*grain, "__first.*")
 
 
-def changed(scan: Scan, rows: DataFrame, state: Column) -> DataFrame:
-    """Rows whose `state` differs from the row before, with `__prior` holding that row's state.
+def dedupe_in_place(
+    rows: DataFrame, keys: Sequence[str], accession: str = "accession_no"
+) -> DataFrame:
+    """`dedupe_accessions` for keys of bounded size: rows move once, to where the chain needs them.
+
+    Both windows are satisfied by a partitioning on the keys alone, so there is no second exchange.
+    """
+    window = Window.partitionBy(*keys, accession).orderBy("filed_date", "payload_id", "value")
+    return (
+        rows.repartition(*keys)
+        .withColumn("__nth", F.row_number().over(window))
+        .where(F.col("__nth") == 1)
+        .drop("__nth")
+    )
+
+
+def changed(scan: Scan, rows: DataFrame, state: Sequence[str]) -> DataFrame:
+    """Rows whose `state` columns differ from the row before; `__first` marks a key's first row.
 
     Equal neighbours form runs, so comparing with the row before is the same as comparing with the
     last row kept. A value that returns after a change is kept again.
     """
-    compared = scan(rows.withColumn("__state", state), __prior=previous(F.col("__state")))
-    return compared.where(
-        F.col("__prior").isNull() | ~F.col("__prior").eqNullSafe(F.col("__state"))
-    )
+    compared = scan(
+        rows,
+        __seen=previous(F.lit(True)),
+        **{f"__prior_{name}": previous(F.col(name)) for name in state},
+    ).withColumn("__first", F.col("__seen").isNull())
+    differs = F.col("__first")
+    for name in state:
+        differs = differs | ~F.col(name).eqNullSafe(F.col(f"__prior_{name}"))
+    return compared.where(differs).drop("__seen", *[f"__prior_{name}" for name in state])
 
 
 def version_chain(
@@ -74,9 +95,9 @@ def version_chain(
     version: str = "accession_no",
     state: Sequence[str] = ("value", "unit"),
     hot_key_rows: int | None = HOT_KEY_ROWS,
-    counted: DataFrame | None = None,
+    total: DataFrame | None = None,
 ) -> DataFrame:
-    """Versions of each key, from rows that are unique per (key, `version`).
+    """Versions of each key, one observation per `version` (the accession) being used.
 
     Rows are ordered by (filed_date, version). Repeats of the value already believed are dropped.
     Each survivor becomes known at `knowledge_from(filed_date)`, or one second after its
@@ -88,8 +109,9 @@ def version_chain(
     """
 
     def body(frame: DataFrame, scan: Scan) -> DataFrame:
-        links = changed(scan, frame, F.struct(*state))
-        links = scan(links, __pos=running_sum(F.lit(1).cast("bigint")))
+        links = scan(
+            changed(scan, frame, state), __pos=running_sum(F.lit(1).cast("bigint"))
+        )
         opens = F.unix_seconds(knowledge_from(F.col("filed_date"), lag_days))
         links = scan(links, __peak=running_max(opens - F.col("__pos")))
         links = links.withColumn(
@@ -102,15 +124,17 @@ def version_chain(
         )
         return links.withColumn(
             "knowledge_to", F.coalesce("__next", schemas.open_end())
-        ).drop("__state", "__prior", "__pos", "__peak", "__next")
+        ).drop("__first", "__pos", "__peak", "__next")
 
     return split_by_heat(
         rows,
         keys,
         ["filed_date", version],
         body,
+        reduce_cold=lambda frame: dedupe_in_place(frame, keys, version),
+        reduce_hot=lambda frame: dedupe_accessions(frame, keys, version),
+        total=total,
         hot_key_rows=hot_key_rows,
-        counted=counted,
     )
 
 
@@ -127,11 +151,7 @@ def fundamental_facts(
     known = known.drop("cik", "entity_name")
     keys = ["entity_id", *_PERIOD]
     chain = version_chain(
-        dedupe_accessions(known, keys),
-        keys,
-        lag_days=lag_days,
-        hot_key_rows=hot_key_rows,
-        counted=known,
+        known, keys, lag_days=lag_days, hot_key_rows=hot_key_rows, total=stg
     ).withColumn("source", F.lit(source))
 
     def fact_id(version: str) -> Column:
@@ -150,6 +170,7 @@ def price_chain(
     keys: Sequence[str] = tuple(schemas.PRICE_KEY),
     order: Sequence[str] = ("fetched_at", "payload_id", "row_pos"),
     hot_key_rows: int | None = HOT_KEY_ROWS,
+    total: DataFrame | None = None,
 ) -> DataFrame:
     """Versions of each (entity, source, trade_date) price over successive fetches.
 
@@ -159,19 +180,21 @@ def price_chain(
     """
 
     def body(frame: DataFrame, scan: Scan) -> DataFrame:
-        versions = changed(scan, frame, F.struct("close", "adj_close"))
+        versions = changed(scan, frame, ["close", "adj_close"])
         versions = versions.withColumn(
             "knowledge_from",
             F.when(
-                F.col("__prior").isNull(), knowledge_from(F.col("trade_date"), lag_days)
+                F.col("__first"), knowledge_from(F.col("trade_date"), lag_days)
             ).otherwise(F.col("fetched_at")),
         )
         versions = scan(versions, __next=following(F.col("knowledge_from")))
         return versions.withColumn(
             "knowledge_to", F.coalesce("__next", schemas.open_end())
-        ).drop("__state", "__prior", "__next")
+        ).drop("__first", "__next")
 
-    return split_by_heat(observations, list(keys), list(order), body, hot_key_rows=hot_key_rows)
+    return split_by_heat(
+        observations, list(keys), list(order), body, total=total, hot_key_rows=hot_key_rows
+    )
 
 
 def price_facts(
@@ -180,14 +203,18 @@ def price_facts(
     *,
     lag_days: int,
     hot_key_rows: int | None = HOT_KEY_ROWS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """The versioned price fact table for parsed price rows of currently mapped tickers."""
+    """The versioned price fact table for parsed price rows of currently mapped tickers.
+
+    `keep` names columns of `prices` to carry along, such as a partition column.
+    """
     current = entity_ticker.where(F.col("knowledge_to") == schemas.open_end())
     observed = prices.join(current.select("ticker", "entity_id"), "ticker")
-    chain = price_chain(observed, lag_days=lag_days, hot_key_rows=hot_key_rows)
+    chain = price_chain(observed, lag_days=lag_days, hot_key_rows=hot_key_rows, total=prices)
     return chain.withColumn(
         "fact_id", stable_id(*schemas.PRICE_KEY, F.col("knowledge_from"))
-    ).select(*schemas.PRICE_FACT.fieldNames())
+    ).select(*schemas.PRICE_FACT.fieldNames(), *keep)
 
 
 def unmapped_tickers(prices: DataFrame, entity_ticker: DataFrame) -> DataFrame:

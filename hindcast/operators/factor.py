@@ -10,14 +10,14 @@ read as of `price_as_of` in both, because a closing price is never known on its
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast import schemas
 from hindcast.functions.calendar import is_single_quarter
-from hindcast.operators.asof import as_of, known_at, nearest_on_or_after
+from hindcast.operators.asof import as_of, dates_within, known_at, nearest_on_or_after
 from hindcast.operators.frames import null_safe_join
 
 POINT_IN_TIME = "point_in_time"
@@ -30,37 +30,34 @@ PERIODS_PER_YEAR = 4
 _ITEM = ["entity_id", "period_start", "period_end"]
 
 
-def _calendar(dates: Sequence[dt.date]) -> Column:
-    return F.lit(sorted(dates)) if dates else F.array().cast("array<date>")
+def _first_midnight(instant: Column) -> Column:
+    """Date of the first midnight at or after `instant`: from then on a daily reading sees it."""
+    return F.date_add((instant - F.expr("INTERVAL 1 MICROSECOND")).cast("date"), 1)
 
 
 def _read_points(
-    dates: Sequence[dt.date],
-    *,
-    pit: Callable[[Column], Column],
-    latest: Column,
-    when: Callable[[Column], Column],
+    dates: Sequence[dt.date], first: Column, until: Column, in_latest: Column
 ) -> Column:
-    """Array of (mode, date) at which a row counts.
+    """Array of the (mode, date) at which a row with a knowledge window counts.
 
-    `when(day)` must hold in both modes. `pit` is a function of the day, `latest` is not.
+    In both modes a date must lie in [first, until). A point-in-time reading at midnight of the
+    date must fall into the knowledge window as well; `in_latest` says whether the latest reading
+    does. Windows are turned into dates up front, so each calendar date costs two comparisons.
     """
-    calendar = _calendar(dates)
 
     def points(mode: str, days: Column) -> Column:
         return F.transform(
             days, lambda day: F.struct(F.lit(mode).alias("mode"), day.alias("date"))
         )
 
-    in_pit = F.filter(calendar, lambda day: when(day) & pit(day))
-    in_latest = F.when(latest, F.filter(calendar, when)).otherwise(
+    known = F.greatest(first, _first_midnight(F.col("knowledge_from")))
+    replaced = F.least(until, _first_midnight(F.col("knowledge_to")))
+    latest = F.when(in_latest, dates_within(dates, first, until)).otherwise(
         F.array().cast("array<date>")
     )
-    return F.concat(points(POINT_IN_TIME, in_pit), points(LATEST, in_latest))
-
-
-def _known_on(day: Column) -> Column:
-    return known_at(day.cast("timestamp"))
+    return F.concat(
+        points(POINT_IN_TIME, dates_within(dates, known, replaced)), points(LATEST, latest)
+    )
 
 
 def last_periods(
@@ -73,23 +70,19 @@ def last_periods(
     proportional to the result instead of facts times dates. The bound is only used where the
     windows of the later periods have no gap; the exact rank is taken afterwards.
     """
-    micros = F.unix_micros("knowledge_to").cast("decimal(20,0)") - F.unix_micros(
-        "knowledge_from"
-    ).cast("decimal(20,0)")
+    length = F.unix_micros("knowledge_to") - F.unix_micros("knowledge_from")
     items = facts.groupBy(*_ITEM).agg(
         F.min("knowledge_from").alias("first_known"),
         F.max("knowledge_to").alias("last_known"),
-        F.sum(micros).alias("covered"),
+        # NULL on overflow, which only overlapping windows could reach: then no bound is used.
+        F.try_sum(length).alias("covered"),
     )
-    whole = F.unix_micros("last_known").cast("decimal(20,0)") - F.unix_micros(
-        "first_known"
-    ).cast("decimal(20,0)")
+    whole = F.unix_micros("last_known") - F.unix_micros("first_known")
     never = F.lit(dt.date.max)
     stays_known = (F.col("last_known") == schemas.open_end()) & (F.col("covered") == whole)
-    known_day = F.date_add(F.col("first_known").cast("date"), 1)
     usable = F.when(
         stays_known & (F.col("first_known") <= latest_as_of),
-        F.greatest(known_day, F.col("period_end")),
+        F.greatest(_first_midnight(F.col("first_known")), F.col("period_end")),
     ).otherwise(never)
     # One row per reporting period of an entity, so a group is bounded by its calendar.
     later = Window.partitionBy("entity_id").orderBy("period_end", "period_start").rowsBetween(1, count)
@@ -101,10 +94,7 @@ def last_periods(
         "*",
         F.inline(
             _read_points(
-                dates,
-                pit=_known_on,
-                latest=known_at(latest_as_of),
-                when=lambda day: (day >= F.col("period_end")) & (day < F.col("retired")),
+                dates, F.col("period_end"), F.col("retired"), known_at(latest_as_of)
             )
         ),
     )
@@ -174,7 +164,10 @@ def _tickers_on_dates(
         "ticker",
         F.inline(
             _read_points(
-                dates, pit=_known_on, latest=known_at(latest_as_of), when=lambda day: day.isNotNull()
+                dates,
+                F.lit(min(dates, default=dt.date.max)),
+                F.lit(dt.date.max),
+                known_at(latest_as_of),
             )
         ),
     )

@@ -30,7 +30,12 @@ def overlap_violations(
 
     proper = facts.where(F.col("knowledge_from") < F.col("knowledge_to"))
     return split_by_heat(
-        proper, list(keys), ["knowledge_from", *tie], body, hot_key_rows=hot_key_rows
+        proper,
+        list(keys),
+        ["knowledge_from", *tie],
+        body,
+        total=facts,
+        hot_key_rows=hot_key_rows,
     )
 
 

@@ -170,6 +170,7 @@ class ChunkedScan(Scan):
 
 
 Body = Callable[[DataFrame, Scan], DataFrame]
+Reduce = Callable[[DataFrame], DataFrame]
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_key_rows: int) -> DataFrame:
@@ -185,30 +186,39 @@ def split_by_heat(
     order: Sequence[str],
     body: Body,
     *,
-    counted: DataFrame | None = None,
+    reduce_cold: Reduce = lambda rows: rows,
+    reduce_hot: Reduce = lambda rows: rows,
+    total: DataFrame | None = None,
     hot_key_rows: int | None = HOT_KEY_ROWS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """`body(rows, scan)` over every key, with hot keys scanned in chunks.
 
-    `order` must order the rows of a key totally. `counted` is what to count rows per key on:
-    usually the input before costly steps, which has at least as many rows per key. The count reads
-    the key columns only and pre-aggregates before its shuffle. `hot_key_rows=None` skips it, for
-    keys whose size is known to be bounded.
+    `order` must order the reduced rows of a key totally. The reductions run first: `reduce_cold`
+    may keep a key in one task, `reduce_hot` must combine before it shuffles.
+
+    Looking for hot keys costs little where there can be none: `total`, a table with at least as
+    many rows as `df` (its input, say), is counted first, which Parquet answers from its footers.
+    Only when it exceeds `hot_key_rows` are rows counted by key, on the key columns and
+    pre-aggregated. `hot_key_rows=None` skips both, for keys whose size is known to be bounded.
     """
-    if hot_key_rows is None:
-        return body(df, Scan(keys, order))
 
-    hot = hot_keys(df if counted is None else counted, keys, hot_key_rows)
+    def ordinary(rows: DataFrame) -> DataFrame:
+        return body(reduce_cold(rows), Scan(keys, order))
+
+    if hot_key_rows is None or (df if total is None else total).count() <= hot_key_rows:
+        return ordinary(df)
+    hot = hot_keys(df, keys, hot_key_rows)
     n_keys, n_rows = hot.agg(F.count(F.lit(1)), F.sum("n")).first()
     if not n_keys:
-        return body(df, Scan(keys, order))
+        return ordinary(df)
 
     hot = broadcast_if_small(cut_lineage(hot.select(*keys)), n_keys)
-    cold_rows = null_safe_join(df, hot, keys, "left_anti")
-    hot_rows = null_safe_join(df, hot, keys, "left_semi")
-    chunked = hot_rows.repartitionByRange(
-        max(2, math.ceil(n_rows / chunk_rows)), *keys, *order
-    ).withColumn(_CHUNK, F.spark_partition_id())
-    cold = body(cold_rows, Scan(keys, order))
-    return cold.unionByName(body(cut_lineage(chunked), ChunkedScan(keys, order)).select(*cold.columns))
+    cold = ordinary(null_safe_join(df, hot, keys, "left_anti"))
+    chunked = (
+        reduce_hot(null_safe_join(df, hot, keys, "left_semi"))
+        .repartitionByRange(max(2, math.ceil(n_rows / chunk_rows)), *keys, *order)
+        .withColumn(_CHUNK, F.spark_partition_id())
+    )
+    scanned = body(cut_lineage(chunked), ChunkedScan(keys, order))
+    return cold.unionByName(scanned.select(*cold.columns))

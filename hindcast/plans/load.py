@@ -17,6 +17,7 @@ from hindcast.sources.lake import Lake
 
 PAYLOAD = "raw.payload"
 STG = "stg.fundamental_fact"
+STG_PRICE = "stg.price_row"
 ENTITY = "core.entity"
 TICKER = "core.entity_ticker"
 FUNDAMENTAL = "core.fundamental_fact"
@@ -157,8 +158,13 @@ def load_prices(lake: Lake, source: str, lag_days: int) -> LoadSummary:
         parsed = vendor.parse_prices(
             payloads.price_payloads(read_payloads(lake), source), source
         )
+        # Staged once, so that bodies are parsed once however often the rows are read.
+        staged = f"{STG_PRICE}.{source}"
+        lake.replace(staged, parsed.select(*schemas.PRICE_ROW.fieldNames()))
         facts = chain.price_facts(
-            parsed, lake.read(TICKER, schemas.ENTITY_TICKER), lag_days=lag_days
+            lake.read(staged, schemas.PRICE_ROW),
+            lake.read(TICKER, schemas.ENTITY_TICKER),
+            lag_days=lag_days,
         )
         return _replace_facts(
             lake, f"{PRICE}.{source}", run.counting(facts), schemas.PRICE_FACT,

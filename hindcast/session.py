@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +26,7 @@ def build_session(app_name: str = "hindcast", **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The directory reliable checkpoints go to.
+    """The folder that intermediate tables are written to.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local master, as in tests, may fall
     back to a temporary folder: on a cluster such a folder would not outlive its machine.
@@ -46,6 +47,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of `df`: survives lost executors and fixes non-deterministic columns."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` written once to the shared checkpoint folder and read back.
+
+    Like a reliable checkpoint it survives lost executors and fixes columns that another execution
+    might compute differently. As a Parquet table it is computed once, and later reads are pruned
+    to the columns they use.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

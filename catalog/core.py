@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import oracle, views
@@ -14,8 +14,8 @@ from catalog.views import PRICE_ORDER, REBALANCE_DATES, Tables
 from hindcast import schemas
 from hindcast.functions import calendar
 from hindcast.operators import asof, chain, coverage, integrity, scd2
-from hindcast.operators.frames import null_safe_join
 from hindcast.plans.reader import PointInTime
+from hindcast.session import cut_lineage
 from hindcast.sources import payloads
 
 _FACT_COLUMNS = [
@@ -31,22 +31,19 @@ _FACT_SQL = (
 
 @query(with_parts(["facts"], f"select {_FACT_SQL}, prior_accession from facts"))
 def fact_chain(t: Tables) -> DataFrame:
-    facts = views.fundamental_facts(t)
-    prior = facts.select(
-        F.col("entity_id"), F.col("fact_id").alias("supersedes"), F.col("accession_no").alias("prior_accession")
-    )
-    return facts.join(prior, ["entity_id", "supersedes"], "left").select(
-        *_FACT_COLUMNS, "prior_accession"
-    )
+    stg = views.stg_facts(t)
+    known, _ = chain.with_entity(chain.loadable(stg), views.entity(t))
+    keys = ["entity_id", "metric_code", "period_start", "period_end"]
+    facts = chain.version_chain(known, keys, lag_days=1, total=stg)
+    return facts.select(*_FACT_COLUMNS, F.col("prior_version").alias("prior_accession"))
 
 
-def _reader(t: Tables, year: int, month: int, day_: int) -> PointInTime:
+def _reader(t: Tables, day_: str, **facts: DataFrame) -> PointInTime:
     return PointInTime(
-        dt.datetime(year, month, day_, tzinfo=dt.UTC),
+        dt.datetime.fromisoformat(day_).replace(tzinfo=dt.UTC),
         entity=views.entity(t),
         entity_ticker=views.entity_ticker(t),
-        fundamental_fact=views.fundamental_facts(t),
-        price_fact=views.price_facts(t),
+        **facts,
     )
 
 
@@ -78,12 +75,13 @@ def _read(reader: PointInTime, tickers: list[str] | None = None) -> DataFrame:
 
 @query(_read_sql("2024-01-20"))
 def asof_read(t: Tables) -> DataFrame:
-    return _read(_reader(t, 2024, 1, 20))
+    return _read(_reader(t, "2024-01-20", fundamental_fact=views.fundamental_facts(t)))
 
 
 @query(_read_sql("2024-01-10", "and m.ticker in ('T1', 'T3', 'T3_OLD', 'T8', 'T13_OLD')"))
 def asof_read_tickers(t: Tables) -> DataFrame:
-    return _read(_reader(t, 2024, 1, 10), ["T1", "T3", "T3_OLD", "T8", "T13_OLD"])
+    reader = _reader(t, "2024-01-10", fundamental_fact=views.fundamental_facts(t))
+    return _read(reader, ["T1", "T3", "T3_OLD", "T8", "T13_OLD"])
 
 
 @query(with_parts(["facts"], f"select {_FACT_SQL} from facts where knowledge_to = {OPEN}"))
@@ -104,7 +102,7 @@ def asof_latest(t: Tables) -> DataFrame:
     )
 )
 def asof_prices(t: Tables) -> DataFrame:
-    return _reader(t, 1999, 6, 1).prices(
+    return _reader(t, "1999-06-01", price_fact=views.price_facts(t)).prices(
         ["T0", "T1", "T2", "T4", "T5"], dt.date(1998, 1, 1), dt.date(1999, 12, 31), "yfinance"
     ).drop("fact_id", "open", "high", "low")
 
@@ -637,7 +635,8 @@ def log_mutations(t: Tables) -> DataFrame:
 )
 def fundamental_invariants(t: Tables) -> DataFrame:
     events = t.events.select(F.col("event_id").alias("payload_id"))
-    return integrity.fundamental_invariants(views.fundamental_facts(t), events, views.entity(t))
+    facts = cut_lineage(views.fundamental_facts(t))
+    return integrity.fundamental_invariants(facts, events, views.entity(t))
 
 
 @query(
@@ -655,4 +654,5 @@ def fundamental_invariants(t: Tables) -> DataFrame:
 def price_invariants(t: Tables) -> DataFrame:
     """Two fetches at one instant leave an empty window: those rows are the reported ones."""
     orders = t.orders.select(F.col("o_orderkey").alias("payload_id"))
-    return integrity.price_invariants(views.price_facts(t), orders, views.entity(t))
+    facts = cut_lineage(views.price_facts(t))
+    return integrity.price_invariants(facts, orders, views.entity(t))

@@ -42,10 +42,14 @@ def shares_panel(t: Tables) -> DataFrame:
     return panel.drop("fact_id", "accession_no")
 
 
-def _panel(t: Tables) -> DataFrame:
+def _prices(t: Tables) -> DataFrame:
+    return cut_lineage(views.price_facts(t))
+
+
+def _panel(t: Tables, prices: DataFrame | None = None) -> DataFrame:
     return factor.earnings_yield_panel(
         _facts(t),
-        views.price_facts(t),
+        views.price_facts(t) if prices is None else prices,
         views.entity_ticker(t),
         views.universe(t),
         REBALANCE_DATES,
@@ -73,15 +77,13 @@ def earnings_yield_rank(t: Tables) -> DataFrame:
     return factor.long_short_portfolios(_panel(t))
 
 
-def _positions(t: Tables) -> DataFrame:
-    """Portfolios, stored: several results are derived from them, and they are small."""
-    return cut_lineage(factor.long_short_portfolios(_panel(t)))
-
-
-def _returns(t: Tables, positions: DataFrame) -> DataFrame:
-    return factor.position_returns(
+def _positions_and_returns(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Portfolios and their returns. Prices and the small portfolios are stored, being read often."""
+    prices = _prices(t)
+    positions = cut_lineage(factor.long_short_portfolios(_panel(t, prices)))
+    return positions, factor.position_returns(
         positions,
-        views.price_facts(t),
+        prices,
         views.entity_ticker(t),
         REBALANCE_DATES,
         price_as_of=views.now(),
@@ -96,7 +98,7 @@ def _returns(t: Tables, positions: DataFrame) -> DataFrame:
     )
 )
 def forward_returns(t: Tables) -> DataFrame:
-    return _returns(t, factor.long_short_portfolios(_panel(t)))
+    return _positions_and_returns(t)[1]
 
 
 @query(
@@ -108,7 +110,7 @@ def forward_returns(t: Tables) -> DataFrame:
     )
 )
 def period_returns(t: Tables) -> DataFrame:
-    return factor.period_returns(_returns(t, factor.long_short_portfolios(_panel(t))))
+    return factor.period_returns(_positions_and_returns(t)[1])
 
 
 @query(
@@ -133,10 +135,8 @@ def turnover(t: Tables) -> DataFrame:
     )
 )
 def performance_summary(t: Tables) -> DataFrame:
-    positions = _positions(t)
-    return factor.performance(
-        factor.period_returns(_returns(t, positions)), factor.turnover(positions)
-    )
+    positions, returns = _positions_and_returns(t)
+    return factor.performance(factor.period_returns(returns), factor.turnover(positions))
 
 
 @query(
@@ -150,8 +150,8 @@ def performance_summary(t: Tables) -> DataFrame:
     )
 )
 def equity_curve(t: Tables) -> DataFrame:
-    positions = _positions(t)
-    return factor.equity_curve(positions, factor.period_returns(_returns(t, positions)))
+    positions, returns = _positions_and_returns(t)
+    return factor.equity_curve(positions, factor.period_returns(returns))
 
 
 @query(

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import views
-from catalog.oracle import OPEN, chain_parts, day, ts, with_parts
+from catalog.oracle import OPEN, day, ts, with_parts
 from catalog.registry import query
 from catalog.vendor import companyfacts_payloads
 from catalog.views import Tables
-from hindcast import config, schemas
+from hindcast import config
 from hindcast.operators import checks, exceptions, feeds
 from hindcast.operators.frames import literal_table
-from hindcast.sources import vendor
+from hindcast.session import cut_lineage
 
 RULE = config.reconciliation_rules(config.RECONCILIATION)[0]
 
@@ -314,7 +314,8 @@ def check_tag_switch(t: Tables) -> DataFrame:
 
 def all_results(t: Tables) -> DataFrame:
     """Every check's rows in the common schema."""
-    facts, prices, entity = views.fundamental_facts(t), views.price_facts(t), views.entity(t)
+    facts, prices = cut_lineage(views.fundamental_facts(t)), cut_lineage(views.price_facts(t))
+    entity = views.entity(t)
     as_of = F.lit("2001-11-05 00:00:00").cast("timestamp")
     return checks.union_results(
         [

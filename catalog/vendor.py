@@ -15,7 +15,12 @@ _BEST_TAG = "RevenueFromContractWithCustomerExcludingAssessedTax"
 
 
 def _log(t: Tables, rows: DataFrame, body: Column, source: str = "edgar") -> DataFrame:
-    return rows.select(
+    """Documents like those of a landed log.
+
+    A given table is one file with one row group, which a single task reads, so the narrow rows are
+    spread before documents are made of them.
+    """
+    return rows.repartition(t.spark.sparkContext.defaultParallelism).select(
         "payload_id",
         F.lit(source).alias("source"),
         F.lit("companyfacts" if source == "edgar" else "history").alias("endpoint"),
@@ -215,28 +220,26 @@ def csv_parse(t: Tables) -> DataFrame:
 
 
 def price_json_payloads(t: Tables) -> DataFrame:
-    def point(day: Column, whole: bool) -> Column:
-        known = F.col("price") if whole else F.lit(None).cast("double")
-        names = {
-            "open": F.col("price"),
-            "high": known + 1,
-            "low": known - 1,
-            "close": known,
-            "volume": F.col("volume").cast("bigint") if whole else F.lit(None).cast("bigint"),
-            "adjClose": F.col("adjusted") if whole else F.lit(None).cast("double"),
-        }
-        rest = {
-            name: F.lit(1.0)
-            for name in ("adjHigh", "adjLow", "adjOpen", "adjVolume", "divCash", "splitFactor")
-        }
-        stamp = F.concat(day.cast("string"), F.lit("T00:00:00.000Z"))
-        return F.struct(
-            stamp.alias("date"), *[c.alias(n) for n, c in {**names, **rest}.items()]
+    price = F.col("price")
+    rest = "".join(
+        f',"{name}":1.0'
+        for name in ("adjHigh", "adjLow", "adjOpen", "adjVolume", "divCash", "splitFactor")
+    )
+    nothing = "".join(f',"{name}":null' for name in ("high", "low", "close", "volume", "adjClose"))
+
+    def point(day: Column, *known: Column | str) -> Column:
+        opening = [F.lit('{"date":"'), day.cast("string"), F.lit('T00:00:00.000Z","open":'), price]
+        return F.concat(
+            *opening, *[F.lit(k) if isinstance(k, str) else k for k in known], F.lit(f"{rest}}}")
         )
 
-    body = F.to_json(
-        F.array(point(F.col("day"), True), point(F.date_add("day", 1), False)),
-        {"ignoreNullFields": "false"},
+    first = point(
+        F.col("day"),
+        ',"high":', price + 1, ',"low":', price - 1, ',"close":', price,
+        ',"volume":', F.col("volume").cast("bigint"), ',"adjClose":', F.col("adjusted"),
+    )
+    body = F.concat(
+        F.lit("["), first, F.lit(","), point(F.date_add("day", 1), nothing), F.lit("]")
     )
     return _log(t, _lines(t, "tiingo"), body, "tiingo")
 

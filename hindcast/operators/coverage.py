@@ -25,7 +25,7 @@ def metric_presence(facts: DataFrame, expected: Sequence[str]) -> DataFrame:
             "cik",
             "fiscal_year",
             "fiscal_period",
-            F.array_sort(F.array_except(F.lit(sorted(expected)), "present")).alias("missing"),
+            F.array_except(F.lit(sorted(expected)), "present").alias("missing"),
         )
     )
 

@@ -26,6 +26,10 @@ _POINT = (
 )
 
 
+# Parsed arrays are exploded with the outer variant and filtered afterwards: for the inner one the
+# optimizer adds a filter on the array's size below the parsing step, which parses every body twice.
+
+
 def _text(body: str = "body") -> Column:
     return F.col(body).cast("string")
 
@@ -166,12 +170,12 @@ def price_csv(payload: DataFrame) -> DataFrame:
         "source",
         "payload_id",
         "fetched_at",
-        F.split(F.regexp_replace(_text(), "\r", ""), "\n").alias("lines"),
+        F.split(F.replace(_text(), F.lit("\r"), F.lit("")), "\n").alias("lines"),
     )
     rows = lines.select(
         "*",
         F.split(F.col("lines")[0], ",").alias("header"),
-        F.posexplode("lines").alias("row_pos", "line"),
+        F.posexplode_outer("lines").alias("row_pos", "line"),
     ).where((F.col("row_pos") > 0) & (F.col("line") != ""))
     cells = rows.withColumn("cells", F.split("line", ","))
 
@@ -199,22 +203,22 @@ def price_csv(payload: DataFrame) -> DataFrame:
 
 def price_json(payload: DataFrame) -> DataFrame:
     """Price rows of JSON bodies; the first point is checked for the documented keys."""
-    body = checked_shape(
-        _text(), F.get_json_object(_text(), "$[0]"), PRICE_POINT_KEYS, "price response"
-    )
-    points = payload.select(
-        ticker_of().alias("ticker"),
-        "source",
-        "payload_id",
-        "fetched_at",
-        F.posexplode(
-            F.from_json(
-                body,
-                "array<struct<date:string,open:double,high:double,low:double,close:double,"
-                "volume:bigint,adjClose:double>>",
-            )
-        ).alias("row_pos", "point"),
-    )
+    about = ["ticker", "source", "payload_id", "fetched_at"]
+    documents = payload.withColumn("ticker", ticker_of()).select(
+        *about, _text().alias("text"), F.get_json_object(_text(), "$[0]").alias("first")
+    )
+    body = checked_shape(F.col("text"), F.col("first"), PRICE_POINT_KEYS, "price response")
+    parsed = documents.select(
+        *about,
+        F.from_json(
+            body,
+            "array<struct<date:string,open:double,high:double,low:double,close:double,"
+            "volume:bigint,adjClose:double>>",
+        ).alias("points"),
+    )
+    points = parsed.select(
+        *about, F.posexplode_outer("points").alias("row_pos", "point")
+    ).where(F.col("row_pos").isNotNull())
     return points.select(
         "ticker",
         "source",

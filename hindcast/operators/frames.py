@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table whose row count is known on the driver is broadcast up to this size. Beyond it the join
@@ -24,8 +24,10 @@ def null_safe_join(
     return joined.drop(*[f"__r_{key}" for key in keys])
 
 
-def broadcast_if_small(df: DataFrame, known_rows: int) -> DataFrame:
-    return F.broadcast(df) if known_rows <= BROADCAST_ROWS else df
+def broadcast_if_small(
+    df: DataFrame, known_rows: int, limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    return F.broadcast(df) if known_rows <= limit else df
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -45,6 +47,3 @@ def typed(df: DataFrame, schema) -> DataFrame:
         ]
     )
 
-
-def columns_of(names: Sequence[str]) -> list[Column]:
-    return [F.col(name) for name in names]

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from hindcast import schemas
 from hindcast.functions.scalar import require, stable_id
+from hindcast.operators.frames import broadcast_if_small
+from hindcast.session import cut_lineage
 
 PRICE_ENDPOINTS = ["history", "prices"]
 OK = 200
+# Ids of eight bytes each: some tens of megabytes as a hashed relation.
+BROADCAST_IDS = 1_000_000
 
 
 def ticker_of(params: str = "request_params") -> Column:
@@ -42,7 +46,13 @@ def mark_seen(rows: DataFrame, log: DataFrame) -> DataFrame:
     first = rows.groupBy(*content).agg(
         F.min(F.struct("fetched_at", "payload_id")).alias("__first")
     )
-    landed = log.select(*content).distinct().withColumn("__landed", F.lit(True))
+    # Only hashes of the batch matter: as the smaller side they prune the log while it is read.
+    landed = (
+        log.select(*content)
+        .join(first.select(*content), content, "left_semi")
+        .distinct()
+        .withColumn("__landed", F.lit(True))
+    )
     known = first.join(landed, content, "left")
     return (
         rows.join(known, content)
@@ -67,14 +77,19 @@ def append(rows: DataFrame, path: str) -> None:
 def latest(payload: DataFrame, by: Iterable[str | Column], *, ok_only: bool = True) -> DataFrame:
     """The most recent payload per group, ties going to the higher payload id.
 
-    The winner is found on the narrow columns first; bodies are read only for payload ids that won.
-    `ok_only=False` lets an error response be the latest.
+    Winners are found on the narrow columns, pre-aggregated, and stored as a list of ids. The list
+    is broadcast up to a fixed length, so that bodies are filtered where they are read and never
+    shuffled. A longer list is joined like any other table. `ok_only=False` lets an error response
+    be the latest.
     """
     rows = payload.where(F.col("http_status") == OK) if ok_only else payload
     newest = rows.groupBy(*by).agg(
         F.max(F.struct("fetched_at", "payload_id"))["payload_id"].alias("payload_id")
     )
-    return rows.join(newest.select("payload_id"), "payload_id", "left_semi")
+    winners = cut_lineage(newest.select("payload_id"))
+    return rows.join(
+        broadcast_if_small(winners, winners.count(), BROADCAST_IDS), "payload_id", "left_semi"
+    )
 
 
 def price_payloads(payload: DataFrame, source: str) -> DataFrame:

@@ -38,13 +38,6 @@ def temporal_join(facts: DataFrame, mapping: DataFrame, instant: Column) -> Data
     return facts.join(held, "entity_id")
 
 
-def mapping_on_dates(mapping: DataFrame, instants: DataFrame) -> DataFrame:
-    """(instant, entity_id, ticker) for every instant in the bounded `instants(instant)` table."""
-    return mapping.join(instants, known_at(F.col("instant"))).select(
-        "instant", "entity_id", "ticker"
-    )
-
-
 def dates_within(dates: Sequence[dt.date], first: Column, until: Column) -> Column:
     """Array of the calendar `dates` d with first <= d < until.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog import oracle, views
 from catalog.oracle import OPEN, day, knowledge, ts, with_parts
 from catalog.registry import query
-from catalog.views import PRICE_ORDER, REBALANCE_DATES, Tables
+from catalog.views import REBALANCE_DATES, Tables
 from hindcast import schemas
 from hindcast.functions import calendar
 from hindcast.operators import asof, chain, coverage, integrity, scd2
@@ -419,10 +419,7 @@ def latest_payload(t: Tables) -> DataFrame:
     """select distinct source, lang as ticker from documents"""
 )
 def log_tickers(t: Tables) -> DataFrame:
-    log = views.payload(t)
-    return log.select("source", payloads.ticker_of().alias("ticker")).where(
-        F.col("ticker").isNotNull()
-    ).distinct()
+    return payloads.tickers_in_log(views.payload(t))
 
 
 @query(

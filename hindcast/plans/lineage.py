@@ -27,7 +27,10 @@ class Run:
         self._observed: list[Observation] = []
 
     def counting(self, df: DataFrame) -> DataFrame:
-        """`df`, whose rows are counted as output while it is being written: no extra pass."""
+        """`df`, whose rows are counted as output while it is being written: no extra pass.
+
+        It must be written before the run ends, as the run waits for the count.
+        """
         observation = Observation()
         self._observed.append(observation)
         return df.observe(observation, F.count(F.lit(1)).alias("rows"))

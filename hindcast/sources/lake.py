@@ -13,7 +13,7 @@ class Lake:
 
     Replacing a table writes a new version folder next to the old one. Spark leaves its success
     marker when the write is complete, and readers take the newest version that has it, so a table
-    can be rebuilt from itself and a failed write changes nothing.
+    can be rebuilt from itself and a failed write changes nothing. A table has one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -39,10 +39,25 @@ class Lake:
         return self.spark.read.schema(schema).parquet(versions[-1])
 
     def replace(self, table: str, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        number = len(self._versions(table)) + 1
-        target = f"{self.path(table)}/version={number:08d}-{uuid.uuid4().hex[:8]}"
+        versions = self._versions(table)
+        last = int(versions[-1].rsplit("version=", 1)[1].split("-")[0]) if versions else 0
+        target = f"{self.path(table)}/version={last + 1:08d}-{uuid.uuid4().hex[:8]}"
         rows.write.partitionBy(*partition_by).parquet(target)
 
+    def drop_old_versions(self, table: str, keep: int = 2) -> int:
+        """Delete all but the newest `keep` complete snapshots; returns how many went.
+
+        Queries still reading an older one fail, so call it when none is running.
+        """
+        if keep < 1:
+            raise ValueError("at least the newest snapshot has to stay")
+        jvm = self.spark._jvm
+        old = self._versions(table)[:-keep]
+        for version in old:
+            path = jvm.org.apache.hadoop.fs.Path(version)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return len(old)
+
     def append(self, table: str, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
         rows.write.mode("append").partitionBy(*partition_by).parquet(f"{self.path(table)}/log")
 

@@ -102,11 +102,11 @@ def price_payloads(payload: DataFrame, source: str) -> DataFrame:
     )
 
 
-def tickers_in_log(payload: DataFrame, source: str) -> DataFrame:
-    """Distinct tickers with a price payload from `source`, whatever its status."""
+def tickers_in_log(payload: DataFrame) -> DataFrame:
+    """Distinct (source, ticker) with a price payload, whatever its status."""
     return (
-        payload.where((F.col("source") == source) & F.col("endpoint").isin(PRICE_ENDPOINTS))
-        .select(ticker_of().alias("ticker"))
+        payload.where(F.col("endpoint").isin(PRICE_ENDPOINTS))
+        .select("source", ticker_of().alias("ticker"))
         .where(F.col("ticker").isNotNull())
         .distinct()
     )

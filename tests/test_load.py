@@ -129,6 +129,16 @@ def test_a_failed_replace_leaves_the_table(spark, tmp_path):
     assert rows(lake.read("core.entity", schemas.ENTITY)) == [(1, "1", "A")]
 
 
+def test_old_snapshots_can_be_dropped(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    for name in "ABC":
+        lake.replace("core.entity", spark.createDataFrame([(1, "1", name)], schemas.ENTITY))
+    assert lake.drop_old_versions("core.entity", keep=1) == 2
+    assert rows(lake.read("core.entity", schemas.ENTITY)) == [(1, "1", "C")]
+    lake.replace("core.entity", spark.createDataFrame([(1, "1", "D")], schemas.ENTITY))
+    assert rows(lake.read("core.entity", schemas.ENTITY)) == [(1, "1", "D")]
+
+
 def test_stream_ends_where_a_batch_load_does(spark, lake, tmp_path):
     load.run_parse(lake, universe(spark, "AAPL"), METRICS)
     mapping = lake.read(load.TICKER, schemas.ENTITY_TICKER)

@@ -114,7 +114,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(
             F.size(own).cast("long").alias("n_words"),
             F.size(F.filter(own, lambda w: F.lower(w).isin(*sorted(set(STOP_WORDS))))).alias("n_stops"),
-            F.size(F.filter(own, lambda w: F.upper(w) != F.lower(w))).alias("n_letter_words"),
+            F.size(F.filter(own, lambda w: w.rlike(r"\p{L}"))).alias("n_letter_words"),
             _repeated_words(own).cast("long").alias("n_repeat_words"),
         )
 

@@ -12,7 +12,6 @@ from hindcast.llm import (
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 URL_RULES = [
     ("allow", "com", "/"),
@@ -106,3 +105,113 @@ def op10_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     labels = table(spark, directory, "labels").select("doc_id", "toxic").where(~held_out())
     model = toxicity.fitted(docs, labels)
     return toxicity.scored(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
+
+
+# SQL that gives the same rows in DuckDB. It has no CRC-32, tokenizer, classifier or XXH64 with a
+# seed, and its regular expressions have no look-behind, so the others are tested by brute force.
+
+_SPACE = r"[\x20\x09-\x0D]"
+
+_MIXING = f"""
+with recursive sized as (
+  select source, count(*) as n, sqrt(count(*)) * sqrt(sqrt(count(*))) as w from documents group by source),
+s as (
+  select source, cast(greatest(1, floor({mixing.PARTS}.0 * w / sum(w) over () + 0.5)) as bigint) as parts,
+         (n + {mixing.BLOCK_ROWS} - 1) // {mixing.BLOCK_ROWS} as blocks,
+         row_number() over (order by source nulls first) as i from sized),
+k as (select list(parts order by i) as p, cast(sum(parts) as bigint) as d from s),
+schedule(t, c, pick) as (
+  select cast(0 as bigint), list_transform(p, lambda x: cast(0 as bigint)), cast(0 as bigint) from k
+  union all
+  select t + 1, list_transform(c, lambda x, j: case when j = due[2] then x + 1 else x end), due[2]
+  from (select t, c, list_sort(list_filter(
+                 list_transform(c, lambda x, j: case when x * d // p[j] <= t
+                                             then [((x + 1) * d + p[j] - 1) // p[j], j] end),
+                 lambda x: x is not null))[1] as due
+        from schedule, k where t < d)),
+slots as (select pick as i, t - 1 as slot, row_number() over (partition by pick order by t) - 1 as j
+          from schedule where pick > 0),
+ended as (select min(blocks // parts * d + slot) as stop
+          from s join slots using (i), k where j = blocks % parts),
+ranked as (
+  select doc_id, source,
+         (row_number() over (partition by source order by md5(coalesce(cast(doc_id as varchar), 'null')), doc_id)
+           - 1) // {mixing.BLOCK_ROWS} as block
+  from documents)
+select r.doc_id, r.source, parts as target_parts, block, d as cycle_parts, block * d // parts as release,
+       ((block + 1) * d + parts - 1) // parts as deadline, block // parts * d + slot as position,
+       block // parts * d + slot < stop as mixed
+from ranked r join s on r.source is not distinct from s.source
+join slots on slots.i = s.i and j = block % parts, k, ended
+"""
+
+_WARC = """
+with p as (
+  select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
+latest as (select h, max(page_id) as top from p group by h)
+select page_id, strlen(body) as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((cast('0x' || substr(h, 1 + cast(i // 4 as int) * 5, 5) as int)
+                      >> cast(15 - 5 * (i % 4) as int)) & 31), 1)), '') as payload_digest,
+       case when top is null or page_id = top then 'response' else 'revisit' end as record_type,
+       case when page_id = top then null else top end as refers_to
+from p join latest using (h)
+"""
+
+_QUALITY = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') as ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+      from d),
+repeated as (
+  select r, i from (
+    select r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g
+    from (select r, ws, unnest(range(1, len(ws) - 1)) as i from w))
+  qualify count(*) over (partition by r, g) > 1),
+covered as (select r, count(distinct spot) as n from (select r, unnest([i, i + 1, i + 2]) as spot from repeated)
+            group by r),
+m as (
+  select doc_id, len(ws) as n_words, length(regexp_replace(t, '{_SPACE}+', '', 'g')) as word_chars,
+         length(t) - length(translate(t, '{quality.SYMBOLS}', '')) as n_symbols,
+         len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
+         len(ls) as n_lines,
+         len(list_filter(ws, lambda x: lower(x) in ({", ".join(f"'{x}'" for x in sorted(set(quality.STOP_WORDS)))})))
+           as n_stops,
+         len(list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}'))) as n_letter_words,
+         length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) as n_upper,
+         length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) as n_letters,
+         len(list_filter(ls, lambda x: substr(ltrim(x, ' '), 1, 1) in ('-', '*', '•'))) as n_bullets,
+         len(list_filter(ls, lambda x: ends_with(rtrim(x, ' '), '...') or ends_with(rtrim(x, ' '), '…'))) as n_ellipses
+  from d join w using (r) left join covered c using (r)),
+b as (select *, n_words < {quality.MIN_WORDS} or n_repeat_words * 100 > n_words * {quality.REPEATED_SHARE}
+                as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and word_chars / n_words between 2 and 14 and n_symbols / n_words <= 0.2
+         and n_stops / n_words >= 0.02 and n_letter_words / n_words >= 0.7
+         and coalesce(n_upper / nullif(n_letters, 0), 0) <= 0.5
+         and coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.3
+         and coalesce(n_bullets / nullif(n_lines, 0), 0) <= 0.9
+         and coalesce(n_ellipses / nullif(n_lines, 0), 0) <= 0.3 as kept
+from b
+"""
+
+_URLS = f"""
+with rules(verdict, host, path) as (values {", ".join(str(rule) for rule in URL_RULES)}),
+rest as (select page_id, case when contains(coalesce(url, ''), '://')
+                              then substr(url, strpos(url, '://') + 3) else '' end as x from pages),
+parted as (
+  select page_id, regexp_extract(x, '^[^/?#]*') as raw,
+         regexp_extract(substr(x, length(regexp_extract(x, '^[^/?#]*')) + 1), '^[^?#]*') as path from rest),
+placed as (select row_number() over () as r, page_id,
+                  translate(raw, '{urls.LETTERS}', '{urls.LETTERS.lower()}') as host, path from parted)
+select p.page_id, p.host, p.path, arg_max(u.host || u.path, length(u.host || u.path)) as rule,
+       coalesce(arg_max(u.verdict, length(u.host || u.path)), '{urls.DEFAULT_VERDICT}') as verdict
+from placed p left join rules u
+  on (p.host = u.host or ends_with(p.host, '.' || u.host)) and starts_with(p.path, u.path)
+group by p.r, p.page_id, p.host, p.path
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_mixing": _MIXING, "op2_warc": _WARC, "op6_quality": _QUALITY, "op8_urls": _URLS,
+}

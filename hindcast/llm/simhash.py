@@ -51,7 +51,11 @@ SKETCH_KEYS = 6
 # Linked sets of similarity 0.8 differ in 9.7 bits, standard deviation 2.9; beyond 24 (five
 # deviations) no pair is confirmed.
 SIMILAR_BITS = 24
+# A block of a shard holds at most so many rows and shingles (of four bytes), or one row.
 BLOCK_ROWS = 1_024
+BLOCK_SHINGLES = 2_000_000
+# Single tests of a row before it is compared with all other rows of its cell at once.
+TESTS = 12
 
 
 # Fingerprints of texts
@@ -272,19 +276,47 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if common else 0.0
 
 
+class Overlaps:
+    """How many shingles each row of a cell shares with one of them, all rows at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        known, self.at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.starts = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+        self.owners = owners[np.argsort(self.at, kind="stable")]
+        self.bounds = np.concatenate(([0], np.cumsum(np.bincount(self.at, minlength=len(known)))))
+        self.rows = len(sets)
+
+    def with_row(self, k: int) -> np.ndarray:
+        own = self.at[self.starts[k] : self.starts[k + 1]]
+        parts = [self.owners[self.bounds[x] : self.bounds[x + 1]] for x in own]
+        return np.bincount(np.concatenate(parts), minlength=self.rows)
+
+
 def link_similar(fps: np.ndarray, sets: list[np.ndarray], similarity: float, groups: Groups,
                  left: np.ndarray, right: np.ndarray) -> None:
-    """Unites rows of similar sets. Close fingerprints are tried first, and rows that are together
-    already are not tried again, so the tests stay few in a dense group."""
+    """Unites rows of similar sets, of which one is in `left` and one in `right`.
+
+    Close fingerprints are tried first, and rows that are together already are not tried again, so
+    tests stay few in a dense group. A row with many candidates left is compared with all at once.
+    """
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    for limit_low, limit_high in ((-1, 6), (6, 12), (12, SIMILAR_BITS)):
-        for k in left:
-            away = _distance(fps[right], fps[k])
-            fits = (away > limit_low) & (away <= limit_high) & (groups.root[right] != groups.root[k])
-            fits &= (sizes[right] >= similarity * sizes[k]) & (sizes[right] * similarity <= sizes[k])
-            for other in right[fits][np.argsort(away[fits], kind="stable")]:
-                if groups.root[other] != groups.root[k] and _jaccard(sets[k], sets[other]) >= similarity:
-                    groups.unite(np.array([k]), np.array([other]))
+    overlaps = None
+    for k in left:
+        away = _distance(fps[right], fps[k])
+        fits = (away <= SIMILAR_BITS) & (groups.root[right] != groups.root[k])
+        fits &= (sizes[right] >= similarity * sizes[k]) & (sizes[right] * similarity <= sizes[k])
+        others = right[fits][np.argsort(away[fits], kind="stable")]
+        for other in others[:TESTS]:
+            if groups.root[other] != groups.root[k] and _jaccard(sets[k], sets[other]) >= similarity:
+                groups.unite(np.array([k]), np.array([other]))
+        others = others[TESTS:]
+        others = others[groups.root[others] != groups.root[k]]
+        if len(others):
+            overlaps = overlaps or Overlaps(sets)
+            common = overlaps.with_row(k)[others]
+            alike = others[common / (sizes[k] + sizes[others] - common) >= similarity]
+            groups.unite(np.full(len(alike), k), alike)
 
 
 def similar_groups(
@@ -310,23 +342,29 @@ def similar_groups(
                     packed = members.tobytes()
                     whole_set = xxhash.xxh64_intdigest(packed, SEED) - 2**63
                     keys = mixed[:SKETCH_KEYS].astype(np.int64).tolist()
-                    out.append((own, whole_set, fingerprint_of(hashes), keys, packed))
-            yield pd.DataFrame(out, columns=["k", "whole", "fp", "keys", "packed"])
+                    out.append((own, whole_set, fingerprint_of(hashes), keys, len(members), packed))
+            yield pd.DataFrame(out, columns=["k", "whole", "fp", "keys", "size", "packed"])
 
     narrow = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     sets = cut_lineage(
-        narrow.mapInPandas(sketch, "k long, whole long, fp long, keys array<long>, packed binary")
+        narrow.mapInPandas(sketch, "k long, whole long, fp long, keys array<long>, size long, packed binary")
     )
     classes = cut_lineage(sets.groupBy("whole").agg(F.min("k").alias("first")))
     equal = sets.select("k", "whole").join(classes, "whole").where("k <> first")
     equal = equal.select(F.col("k").alias("a"), F.col("first").alias("b"))
     firsts = classes.select(F.col("first").alias("k"))
     shards = cut_lineage(
-        sets.select("k", "keys").join(firsts, "k", "left_semi")
-        .select("k", F.explode("keys").alias("shard")).distinct()
+        sets.select("k", "keys", "size").join(firsts, "k", "left_semi")
+        .select("k", "size", F.explode("keys").alias("shard")).distinct()
+    )
+    counts = (
+        shards.groupBy("shard")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("shingles"))
+        .where("rows > 1")
     )
-    counts = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    blocks = F.greatest(
+        F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)
+    ).cast("int")
     shared = shards.join(counts.select("shard", blocks.alias("blocks")), "shard")
     own = F.pmod(F.xxhash64("k"), F.col("blocks"))
     cells = shared.select("k", "shard", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))

@@ -123,6 +123,8 @@ def fundamental_invariants(
         payload_lineage=lineage_violations(facts, payload),
         known_entity=orphans(facts, "entity_id", entity, "entity_id"),
         supersedes_exists=orphans(facts, "supersedes", facts, "fact_id"),
+        unique_version=duplicate_keys(facts, [*schemas.FACT_KEY, "knowledge_from"]),
+        unique_id=duplicate_keys(facts, ["fact_id"]),
     )
 
 
@@ -135,12 +137,20 @@ def price_invariants(facts: DataFrame, payload: DataFrame, entity: DataFrame) ->
         window_order=window_violations(facts),
         payload_lineage=lineage_violations(facts, payload),
         known_entity=orphans(facts, "entity_id", entity, "entity_id"),
+        unique_version=duplicate_keys(facts, [*schemas.PRICE_KEY, "knowledge_from"]),
+        unique_id=duplicate_keys(facts, ["fact_id"]),
     )
 
 
-def failing(violations: DataFrame, message: str) -> None:
-    """Raise when a violation query returns any row; looks at one row at most."""
-    first = violations.take(1)
-    if first:
-        raise ValueError(f"{message}: {first[0].asDict()}")
+def entity_invariants(entity: DataFrame, mapping: DataFrame) -> DataFrame:
+    """All invariants of the entity and ticker tables in one report."""
+    return report(
+        unique_cik=duplicate_keys(entity, ["cik"]),
+        unique_entity=duplicate_keys(entity, ["entity_id"]),
+        one_open_ticker=open_row_violations(mapping, ["entity_id"]),
+        one_open_holder=open_row_violations(mapping, ["ticker"]),
+        no_overlap=overlap_violations(mapping, ["entity_id"]),
+        window_order=window_violations(mapping),
+        known_entity=orphans(mapping, "entity_id", entity, "entity_id"),
+    )
 

@@ -9,8 +9,18 @@ from hindcast import schemas
 from hindcast.functions.scalar import stable_id
 
 
+def one_per_cik(seen: DataFrame) -> DataFrame:
+    """`seen(cik, name, ticker, ordinal)` with one row per cik: that of the greatest ordinal.
+
+    A company may have several tickers in a universe; its last one in universe order names it.
+    """
+    last = F.max_by(F.struct("name", "ticker"), F.struct("ordinal", "ticker"))
+    return seen.groupBy("cik").agg(last.alias("__s")).select("cik", "__s.*")
+
+
 def merge_entities(entity: DataFrame, seen: DataFrame) -> DataFrame:
-    """Entities after a parse that saw `seen(cik, name)`: new ones added, names refreshed."""
+    """Entities after a parse that saw `seen(cik, name)`, unique by cik: new ones added, names
+    refreshed."""
     fresh = seen.select("cik", F.col("name").alias("new_name"))
     return entity.join(fresh, "cik", "full_outer").select(
         F.coalesce("entity_id", stable_id("cik")).alias("entity_id"),

@@ -18,13 +18,21 @@ RUNS = "ops.pipeline_run"
 
 
 class Run:
-    """Counters of a run. `counting` attaches a counter to the rows a step writes."""
+    """Counters of a run. `counting` attaches a counter to the rows a step writes, `reading` to those
+    it reads."""
 
     def __init__(self, run_id: str) -> None:
         self.run_id = run_id
         self.rows_in = 0
         self.rows_out = 0
         self._observed: list[Observation] = []
+        self._read: list[Observation] = []
+
+    def reading(self, df: DataFrame) -> DataFrame:
+        """`df`, whose rows are counted as input by the one write that uses it."""
+        observation = Observation()
+        self._read.append(observation)
+        return df.observe(observation, F.count(F.lit(1)).alias("rows"))
 
     def counting(self, df: DataFrame) -> DataFrame:
         """`df`, whose rows are counted as output while it is being written: no extra pass.
@@ -38,7 +46,8 @@ class Run:
     def settle(self) -> None:
         """Add the counts of everything that was written."""
         self.rows_out += sum(observation.get["rows"] for observation in self._observed)
-        self._observed = []
+        self.rows_in += sum(observation.get["rows"] for observation in self._read)
+        self._observed, self._read = [], []
 
 
 @contextmanager

@@ -6,16 +6,28 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hindcast import schemas
 from hindcast.config import MetricMap
 from hindcast.functions.scalar import padded_cik, vendor_ticker
 from hindcast.operators import chain, integrity, scd2
+from hindcast.operators.frames import broadcast_if_small
 from hindcast.plans.lineage import tracked_run
+from hindcast.session import cut_lineage
 from hindcast.sources import payloads, vendor
 from hindcast.sources.lake import Lake
 
 PAYLOAD = "raw.payload"
+LANDING = "raw.landing"
+LANDING_SCHEMA = T.StructType(
+    [
+        T.StructField("source", T.StringType()),
+        T.StructField("payload_id", T.LongType()),
+        T.StructField("content_unchanged", T.BooleanType()),
+        T.StructField("run_id", T.StringType()),
+    ]
+)
 STG = "stg.fundamental_fact"
 STG_PRICE = "stg.price_row"
 ENTITY = "core.entity"
@@ -27,6 +39,9 @@ FUNDAMENTAL_SOURCE = "edgar"
 
 @dataclass(frozen=True)
 class LoadSummary:
+    """keys_processed counts fact keys for fundamentals and entities (one open ticker each) for
+    prices."""
+
     keys_processed: int
     rows_inserted: int
     rows_relinked: int
@@ -40,22 +55,35 @@ def read_payloads(lake: Lake) -> DataFrame:
 def land(lake: Lake, fetched: DataFrame, source: str) -> None:
     """Append a batch of responses of one source to the payload log."""
     with tracked_run(lake, f"ingest:{source}") as run:
-        rows = payloads.land(
-            fetched.withColumn("source", F.lit(source)), read_payloads(lake), run.run_id
+        rows = payloads.identified(
+            run.reading(fetched.withColumn("source", F.lit(source))), run.run_id
         )
-        counted = run.counting(rows.select(*schemas.PAYLOAD.fieldNames()))
-        lake.append(PAYLOAD, counted, ("source",))
+        lake.append(PAYLOAD, run.counting(rows), ("source",))
+        # What was just written, against everything before it, without the bodies of either.
+        log = read_payloads(lake).select("source", "content_sha256", "fetched_at", "payload_id", "run_id")
+        batch = log.where(F.col("run_id") == run.run_id)
+        flagged = payloads.mark_seen(batch, log.where(F.col("run_id") != run.run_id))
+        lake.append(LANDING, flagged.select("source", "payload_id", "content_unchanged", "run_id"))
+
+
+def read_landings(lake: Lake) -> DataFrame:
+    """(source, payload_id, content_unchanged, run_id) of everything landed."""
+    return lake.read_log(LANDING, LANDING_SCHEMA)
 
 
 def universe_documents(
     universe: DataFrame, ciks: DataFrame, companyfacts: DataFrame
 ) -> DataFrame:
-    """(ticker, cik, payload_id) of universe tickers; cik and payload_id are NULL where missing."""
-    resolved = universe.select("ticker", vendor_ticker(F.col("ticker")).alias("__vendor")).join(
+    """(ticker, ordinal, cik, payload_id) of universe tickers; the last two are NULL where missing.
+
+    The ordinal is the universe's column of that name; without one, tickers count in their order.
+    """
+    ordinal = F.col("ordinal") if "ordinal" in universe.columns else F.lit(0)
+    resolved = universe.select("ticker", ordinal.alias("ordinal"), vendor_ticker(F.col("ticker")).alias("__vendor")).join(
         ciks.select(F.col("ticker").alias("__vendor"), "cik"), "__vendor", "left"
     )
     return resolved.join(companyfacts.select("ticker", "payload_id"), "ticker", "left").select(
-        "ticker", "cik", "payload_id"
+        "ticker", "ordinal", "cik", "payload_id"
     )
 
 
@@ -83,11 +111,14 @@ def parse_facts(
     ).withColumn("ticker", payloads.ticker_of())
     ciks = vendor.ticker_map(maps)
     chosen = universe_documents(universe, ciks, documents).dropna()
-    wanted = documents.join(chosen.select("payload_id"), "payload_id", "left_semi")
+    # Ids only, counted, so that bodies are filtered where they are read.
+    ids = cut_lineage(chosen.select("payload_id").distinct())
+    ids = broadcast_if_small(ids, ids.count(), payloads.BROADCAST_IDS)
+    wanted = documents.join(ids, "payload_id", "left_semi")
     names = wanted.select(
         "payload_id", F.get_json_object(F.col("body").cast("string"), "$.entityName").alias("name")
     )
-    seen = chosen.join(names, "payload_id").select("cik", "name", "ticker")
+    seen = scd2.one_per_cik(chosen.join(names, "payload_id"))
     return (
         vendor.parse_companyfacts(wanted, metric_map),
         seen,
@@ -108,47 +139,68 @@ def run_parse(lake: Lake, universe: DataFrame, metric_map: MetricMap) -> DataFra
         raise RuntimeError("no ticker map in the payload log: land one first")
     with tracked_run(lake, "parse") as run:
         staged, seen, rejects = parse_facts(log, universe, metric_map)
-        lake.replace(STG, run.counting(staged))
-        entity = scd2.merge_entities(lake.read(ENTITY, schemas.ENTITY), seen)
-        lake.replace(ENTITY, entity)
-        entity = lake.read(ENTITY, schemas.ENTITY)
+        seen = cut_lineage(seen)
+        run.rows_in = seen.count()
+        entity_path = lake.stage(
+            ENTITY, scd2.merge_entities(lake.read(ENTITY, schemas.ENTITY), seen)
+        )
+        entity = lake.spark.read.schema(schemas.ENTITY).parquet(entity_path)
         current = seen.join(entity.select("cik", "entity_id"), "cik").select("entity_id", "ticker")
-        mapping = scd2.merge_ticker_mapping(
-            lake.read(TICKER, schemas.ENTITY_TICKER), current, F.lit(map_fetches[0][0])
+        mapping_path = lake.stage(
+            TICKER,
+            scd2.merge_ticker_mapping(
+                lake.read(TICKER, schemas.ENTITY_TICKER), current, F.lit(map_fetches[0][0])
+            ),
         )
-        lake.replace(TICKER, mapping)
+        mapping = lake.spark.read.schema(schemas.ENTITY_TICKER).parquet(mapping_path)
+        _refuse(lake, "entities", integrity.entity_invariants(entity, mapping), entity_path, mapping_path)
+        lake.replace(STG, run.counting(staged))
+        lake.publish(entity_path)
+        lake.publish(mapping_path)
     return rejects
 
 
+def _refuse(lake: Lake, what: str, report: DataFrame, *staged: str) -> None:
+    """Give up the staged versions and raise if an invariant is broken."""
+    broken = {row.invariant: row.violations for row in report.where("violations > 0").collect()}
+    if broken:
+        for path in staged:
+            lake.discard(path)
+        raise ValueError(f"{what} refused, rows that break an invariant: {broken}")
+
+
 def _replace_facts(
-    lake: Lake, table: str, facts: DataFrame, schema, key: list[str], version: str, basis: str
+    lake: Lake, table: str, facts: DataFrame, schema, key: list[str], version: str,
+    counted: list[str], invariants, layout: list[str],
 ) -> LoadSummary:
-    """Write a recomputed table, check its windows, and report what changed.
+    """Stage a recomputed table, check every invariant on it, publish it, report what changed.
 
-    The new snapshot is compared with the previous one after it is written, so the chain is
-    computed once.
+    A table that breaks an invariant is never published: readers keep the one before. Files are
+    sorted by `layout`, so that reads by those columns skip row groups. The summary compares the two
+    snapshots as written, so the chain is computed once; it counts `counted` as keys processed.
     """
     before = lake.read(table, schema)
-    lake.replace(table, facts)
-    after = lake.read(table, schema)
-    integrity.failing(integrity.window_violations(after), f"{table}: inverted window")
-    integrity.failing(
-        integrity.early_knowledge_violations(after, basis), f"{table}: known too early"
-    )
+    staged = lake.stage(table, facts.sortWithinPartitions(*layout))
+    after = lake.spark.read.schema(schema).parquet(staged)
+    report = invariants(after, read_payloads(lake), lake.read(ENTITY, schemas.ENTITY))
+    _refuse(lake, table, report, staged)
+    lake.publish(staged)
     diff = chain.version_diff(before, after, keys=key, version=version)
-    return LoadSummary(**chain.load_summary(diff, key).first().asDict())
+    return LoadSummary(**chain.load_summary(diff, counted).first().asDict())
 
 
 def load_fundamentals(lake: Lake, lag_days: int) -> LoadSummary:
     """Rebuild the fundamental fact table from the staged facts of known entities."""
     with tracked_run(lake, "load-fundamentals") as run:
         stg = lake.read(STG, schemas.STG_FACT)
+        run.rows_in = stg.count()
         facts = chain.fundamental_facts(
             stg, lake.read(ENTITY, schemas.ENTITY), source=FUNDAMENTAL_SOURCE, lag_days=lag_days
         )
         return _replace_facts(
             lake, FUNDAMENTAL, run.counting(facts), schemas.FUNDAMENTAL_FACT, schemas.FACT_KEY,
-            "accession_no", "filed_date",
+            "accession_no", schemas.FACT_KEY, integrity.fundamental_invariants,
+            ["metric_code", "entity_id", "period_end", "knowledge_from"],
         )
 
 
@@ -161,14 +213,17 @@ def load_prices(lake: Lake, source: str, lag_days: int) -> LoadSummary:
         # Staged once, so that bodies are parsed once however often the rows are read.
         staged = f"{STG_PRICE}.{source}"
         lake.replace(staged, parsed.select(*schemas.PRICE_ROW.fieldNames()))
+        observed = lake.read(staged, schemas.PRICE_ROW)
+        run.rows_in = observed.count()
         facts = chain.price_facts(
-            lake.read(staged, schemas.PRICE_ROW),
+            observed,
             lake.read(TICKER, schemas.ENTITY_TICKER),
             lag_days=lag_days,
         )
         return _replace_facts(
             lake, f"{PRICE}.{source}", run.counting(facts), schemas.PRICE_FACT,
-            schemas.PRICE_KEY, "knowledge_from", "trade_date",
+            schemas.PRICE_KEY, "knowledge_from", ["entity_id"], integrity.price_invariants,
+            ["entity_id", "trade_date", "knowledge_from"],
         )
 
 

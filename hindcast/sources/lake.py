@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+PUBLISHED = "_PUBLISHED"
+
+
 class Lake:
     """Parquet tables under one root folder, named like `core.price_fact`.
 
-    Replacing a table writes a new version folder next to the old one. Spark leaves its success
-    marker when the write is complete, and readers take the newest version that has it, so a table
-    can be rebuilt from itself and a failed write changes nothing. A table has one writer at a time.
+    Replacing a table stages a new version folder next to the old one and then publishes it: an
+    empty marker file, put there last. Readers take the newest version that has it. So a table can
+    be rebuilt from itself, a failed write changes nothing, and a staged version can be checked and
+    given up while readers keep the old one. A table has one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -27,7 +31,7 @@ class Lake:
         jvm = self.spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.path(table))
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/version=*/_SUCCESS")
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/version=*/{PUBLISHED}")
         found = fs.globStatus(pattern) or []
         return sorted(str(status.getPath().getParent().toString()) for status in found)
 
@@ -38,11 +42,28 @@ class Lake:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(versions[-1])
 
-    def replace(self, table: str, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
+    def stage(self, table: str, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> str:
+        """Write a version that no reader sees yet; returns its path."""
         versions = self._versions(table)
         last = int(versions[-1].rsplit("version=", 1)[1].split("-")[0]) if versions else 0
         target = f"{self.path(table)}/version={last + 1:08d}-{uuid.uuid4().hex[:8]}"
         rows.write.partitionBy(*partition_by).parquet(target)
+        return target
+
+    def publish(self, staged: str) -> None:
+        """Make a staged version the current one."""
+        jvm = self.spark._jvm
+        marker = jvm.org.apache.hadoop.fs.Path(f"{staged}/{PUBLISHED}")
+        fs = marker.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.create(marker, False).close()
+
+    def discard(self, staged: str) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(staged)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def replace(self, table: str, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
+        self.publish(self.stage(table, rows, partition_by))
 
     def drop_old_versions(self, table: str, keep: int = 2) -> int:
         """Delete all but the newest `keep` complete snapshots; returns how many went.

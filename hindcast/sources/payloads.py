@@ -22,13 +22,14 @@ def ticker_of(params: str = "request_params") -> Column:
     return F.col(params)["ticker"]
 
 
-def land(fetched: DataFrame, log: DataFrame, run_id: str) -> DataFrame:
-    """Rows to append to the payload log for a batch of responses.
+def identified(fetched: DataFrame, run_id: str) -> DataFrame:
+    """Rows to append to the payload log for a batch of responses, changed or not.
 
-    Every response is kept, changed or not. `content_unchanged` tells whether the same body had
-    already landed from that source, earlier in the log or earlier in this batch.
+    One projection, so bodies are hashed where they are and never shuffled. A response without a
+    body fails the job: it must not vanish.
     """
-    hashed = fetched.withColumn("content_sha256", F.sha2("body", 256))
+    present = require(F.col("body").isNotNull(), F.col("body"), F.lit("a response has no body"))
+    hashed = fetched.withColumn("body", present).withColumn("content_sha256", F.sha2("body", 256))
     identity = stable_id(
         "source",
         "endpoint",
@@ -37,11 +38,15 @@ def land(fetched: DataFrame, log: DataFrame, run_id: str) -> DataFrame:
         "content_sha256",
     )
     rows = hashed.withColumn("payload_id", identity).withColumn("run_id", F.lit(run_id))
-    return mark_seen(rows, log).select(*schemas.PAYLOAD.fieldNames(), "content_unchanged")
+    return rows.select(*schemas.PAYLOAD.fieldNames())
 
 
 def mark_seen(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """Adds `content_unchanged` to a batch, given the log it will be appended to."""
+    """Adds `content_unchanged` to a batch, given the log before it.
+
+    It tells whether the same body had already landed from that source, in the log or earlier in
+    the batch. Only source, hash, time and id are needed: give rows without their bodies.
+    """
     content = ["source", "content_sha256"]
     first = rows.groupBy(*content).agg(
         F.min(F.struct("fetched_at", "payload_id")).alias("__first")
@@ -64,16 +69,6 @@ def mark_seen(rows: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Append landed rows to the log, one directory per source."""
-    (
-        rows.select(*schemas.PAYLOAD.fieldNames())
-        .write.mode("append")
-        .partitionBy("source")
-        .parquet(path)
-    )
-
-
 def latest(payload: DataFrame, by: Iterable[str | Column], *, ok_only: bool = True) -> DataFrame:
     """The most recent payload per group, ties going to the higher payload id.
 
@@ -124,7 +119,7 @@ def checked_shape(body: Column, element: Column, required: Sequence[str], what:
     """
     missing = missing_keys(required, F.json_object_keys(element))
     message = F.concat(
-        F.lit(f"{what} shape changed, missing expected keys: "), F.array_join(missing, ", ")
+        F.lit(f"{what} lacks keys it always had: "), F.array_join(missing, ", ")
     )
     return require(element.isNull() | (F.size(missing) == 0), body, message)
 

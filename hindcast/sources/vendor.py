@@ -9,7 +9,6 @@ from hindcast import schemas
 from hindcast.config import MetricMap
 from hindcast.functions.calendar import local_date
 from hindcast.functions.scalar import padded_cik, require
-from hindcast.operators.chain import best_tag_points
 from hindcast.sources.payloads import checked_shape, ticker_of
 
 # Fixed keys of the vendor documents.
@@ -49,11 +48,34 @@ def _points_of(tag: str, unit: str) -> Column:
     return F.col("doc")["facts"]["us-gaap"][tag]["units"][unit]
 
 
-def companyfacts(payload: DataFrame, metric_map: MetricMap) -> DataFrame:
-    """One row per reported data point of a mapped tag, before tag priority is applied."""
+def _period_of(point: Column) -> Column:
+    return F.concat(F.coalesce(point["start"], F.lit("")), F.lit(" "), F.coalesce(point["end"], F.lit("")))
+
+
+def companyfacts(payload: DataFrame, metric_map: MetricMap, *, best_only: bool = False) -> DataFrame:
+    """One row per reported data point of a mapped tag.
+
+    With `best_only`, tag priority is applied: of the tags that report a period the best one counts.
+    A document is one row, so this happens inside it and nothing is shuffled.
+    """
     units_by_tag: dict[str, set[str]] = {}
     for row in metric_map:
         units_by_tag.setdefault(row.tag, set()).add(row.unit)
+    none = F.array().cast("array<string>")
+
+    def points_of(row) -> Column:
+        """Points of periods that no better tag of the metric reports."""
+        points = _points_of(row.tag, row.unit)
+        better = [
+            _points_of(other.tag, other.unit)
+            for other in metric_map
+            if best_only and other.metric_code == row.metric_code and other.priority < row.priority
+        ]
+        if not better:
+            return points
+        taken = F.concat(*[F.coalesce(F.transform(p, _period_of), none) for p in better])
+        return F.filter(points, lambda point: ~F.array_contains(taken, _period_of(point)))
+
     groups = F.array(
         *[
             F.struct(
@@ -61,7 +83,7 @@ def companyfacts(payload: DataFrame, metric_map: MetricMap) -> DataFrame:
                 F.lit(row.priority).alias("priority"),
                 F.lit(row.tag).alias("vendor_native_tag"),
                 F.lit(row.unit).alias("unit"),
-                _points_of(row.tag, row.unit).alias("points"),
+                points_of(row).alias("points"),
             )
             for row in metric_map
         ]
@@ -106,10 +128,7 @@ def companyfacts(payload: DataFrame, metric_map: MetricMap) -> DataFrame:
 
 def parse_companyfacts(payload: DataFrame, metric_map: MetricMap) -> DataFrame:
     """Staged facts: for every reporting period the best tag that reports it, all its points."""
-    points = companyfacts(payload, metric_map)
-    period = ["payload_id", "metric_code", "period_start", "period_end"]
-    best = best_tag_points(points, period, one_document=True)
-    return best.select(*schemas.STG_FACT.fieldNames())
+    return companyfacts(payload, metric_map, best_only=True).select(*schemas.STG_FACT.fieldNames())
 
 
 def entity_names(payload: DataFrame) -> DataFrame:
@@ -126,12 +145,15 @@ def instant_values(payload: DataFrame, tag: str, unit: str = "USD") -> DataFrame
         F.from_json(_text(), _companyfacts_type({tag: {unit}})).alias("doc")
     )
     points = documents.select(
-        padded_cik(F.col("doc.cik")).alias("cik"),
-        F.posexplode(_points_of(tag, unit)).alias("pos", "point"),
-    ).where(F.col("point.start").isNull())
-    return points.groupBy("cik", F.to_date("point.end").alias("period_end")).agg(
+        F.col("doc.cik").alias("cik"),
+        # Outer, and the key padded after the aggregate: no filter on the parsed document is pushed
+        # below the parse, which would parse it again.
+        F.posexplode_outer(_points_of(tag, unit)).alias("pos", "point"),
+    ).where(F.col("point").isNotNull() & F.col("point.start").isNull())
+    first = points.groupBy("cik", F.to_date("point.end").alias("period_end")).agg(
         F.min(F.struct("pos", "point.val"))["val"].alias("value")
     )
+    return first.select(padded_cik(F.col("cik")).alias("cik"), "period_end", "value")
 
 
 def ticker_map(payload: DataFrame) -> DataFrame:
@@ -148,7 +170,7 @@ def ticker_map(payload: DataFrame) -> DataFrame:
         has_all,
         F.upper(F.col("entry")["ticker"]),
         F.concat(
-            F.lit("ticker map entry shape changed, got keys: "),
+            F.lit("a ticker map entry lacks its fields, it has: "),
             F.array_join(F.map_keys("entry"), ", "),
         ),
     )

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from hindcast import schemas
 from hindcast.operators import chain
+from hindcast.session import cut_lineage
 from hindcast.sources import payloads, vendor
 
 BUCKETS = 256
@@ -61,7 +62,11 @@ def start_price_refresh(
         if not touched:
             return
         rows = spark.read.schema(staged_schema).parquet(staging).where(F.col("bucket").isin(touched))
-        facts = chain.price_facts(rows, mapping, lag_days=lag_days, keep=["bucket"])
+        facts = cut_lineage(chain.price_facts(rows, mapping, lag_days=lag_days, keep=["bucket"]))
+        # Dynamic overwrite leaves partitions alone that get no rows, as after a mapping closed.
+        filled = {row[0] for row in facts.select("bucket").distinct().collect()}
+        for bucket in set(touched) - filled:
+            _drop_folder(spark, f"{facts_path}/bucket={bucket}")
         (
             facts.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -78,6 +83,11 @@ def start_price_refresh(
     )
 
 
+def _drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_price_facts(spark: SparkSession, state_path: str) -> DataFrame:
-    facts = spark.read.parquet(f"{state_path}/price_fact")
+    facts = spark.read.schema(schemas.PRICE_FACT).parquet(f"{state_path}/price_fact")
     return facts.select(*schemas.PRICE_FACT.fieldNames())

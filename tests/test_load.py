@@ -83,7 +83,7 @@ def test_load_twice_then_restate(spark, lake):
 def test_prices_checks_and_exceptions(spark, lake):
     load.run_parse(lake, universe(spark, "AAPL"), METRICS)
     load.load_fundamentals(lake, 1)
-    assert load.load_prices(lake, "yfinance", 1) == load.LoadSummary(2, 2, 0, 0)
+    assert load.load_prices(lake, "yfinance", 1) == load.LoadSummary(1, 2, 0, 0)
     assert load.load_prices(lake, "tiingo", 1).rows_inserted == 1
     rules = config.reconciliation_rules(config.RECONCILIATION)
     now = dt.datetime(2024, 2, 1)
@@ -106,13 +106,72 @@ def test_runs_are_recorded_with_counts_and_errors(spark, lake):
             1 / 0  # noqa: B018
     runs = {r.pipeline: r for r in lineage.runs(lake).collect()}
     assert runs["ingest:edgar"].status == "success"
-    assert runs["ingest:edgar"].rows_out == 3
+    assert (runs["ingest:edgar"].rows_in, runs["ingest:edgar"].rows_out) == (3, 3)
     assert runs["parse"].rows_out == 2
     assert runs["broken"].status == "failed"
     assert json.loads(runs["broken"].error) == {"type": "ZeroDivisionError", "message": "division by zero"}
     assert integrity.domain_violations(lineage.runs(lake), "status", schemas.RUN_STATUSES).count() == 0
 
 
+def test_a_refused_load_is_not_published(spark, lake):
+    load.run_parse(lake, universe(spark, "AAPL"), METRICS)
+    load.load_prices(lake, "yfinance", 1)
+    before = rows(load.read_prices(lake, ["yfinance"]))
+    # The same trade date fetched twice before its price counts as known: an inverted window.
+    csv = CSV.replace("1.75,1.7", "1.75,0.85")
+    load.land(lake, fetched(spark, [("history", {"ticker": "AAPL"}, "2024-01-02 15:00:00", 200, csv)]), "yfinance")
+    load.land(lake, fetched(spark, [("history", {"ticker": "AAPL"}, "2024-01-02 20:00:00", 200, CSV)]), "yfinance")
+    with pytest.raises(ValueError, match="window_order"):
+        load.load_prices(lake, "yfinance", 1)
+    assert rows(load.read_prices(lake, ["yfinance"])) == before
+
+
+def test_two_tickers_of_a_company_make_one_entity(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    both = {"0": {"cik_str": 7, "ticker": "GA", "title": "G"}, "1": {"cik_str": 7, "ticker": "GB", "title": "G"}}
+    load.land(lake, fetched(spark, [
+        ("ticker_map", {}, "2024-01-01", 200, both),
+        ("companyfacts", {"ticker": "GA", "cik": "7"}, "2024-01-01", 200, facts_body(1, "2021-03-01", "a2")),
+        ("companyfacts", {"ticker": "GB", "cik": "7"}, "2024-01-01", 200, facts_body(1, "2021-03-01", "a2")),
+    ]), "edgar")
+    listed = spark.createDataFrame([("GB", 0), ("GA", 1)], "ticker string, ordinal int")
+    load.run_parse(lake, listed, METRICS)
+    assert lake.read(load.ENTITY, schemas.ENTITY).count() == 1
+    assert rows(lake.read(load.TICKER, schemas.ENTITY_TICKER).select("ticker")) == [("GA",)]
+
+
+def test_a_response_without_body_is_refused(spark, tmp_path):
+    empty = fetched(spark, [("history", {"ticker": "A"}, "2024-01-01", 200, "x")]).withColumn(
+        "body", F.lit(None).cast("binary"))
+    with pytest.raises(Exception, match="no body"):
+        load.land(Lake(spark, str(tmp_path)), empty, "yfinance")
+
+
+def test_landing_flags_are_kept(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    for day in ("2024-01-01", "2024-01-02"):
+        load.land(lake, fetched(spark, [("history", {"ticker": "A"}, day, 200, "same")]), "yfinance")
+    flags = load.read_landings(lake).join(load.read_payloads(lake), "payload_id").orderBy("fetched_at")
+    assert [r.content_unchanged for r in flags.collect()] == [False, True]
+
+
+def test_a_bucket_that_ends_empty_is_emptied(spark, lake, tmp_path):
+    load.run_parse(lake, universe(spark, "AAPL"), METRICS)
+    mapping = lake.read(load.TICKER, schemas.ENTITY_TICKER)
+    state = f"{tmp_path}/stream"
+
+    def refresh(names):
+        start_price_refresh(
+            spark, f"{lake.path(load.PAYLOAD)}/log", "yfinance", names, lag_days=1, state_path=state, buckets=4
+        ).awaitTermination()
+
+    refresh(mapping)
+    assert read_price_facts(spark, state).count() == 2
+    load.land(lake, fetched(spark, [("history", {"ticker": "AAPL"}, "2024-03-01", 200, CSV)]), "yfinance")
+    refresh(mapping.withColumn("knowledge_to", F.lit("2024-02-01").cast("timestamp")))
+    assert read_price_facts(spark, state).count() == 0
+
+
 def test_parse_needs_a_ticker_map(spark, tmp_path):
     with pytest.raises(RuntimeError, match="no ticker map"):
         load.run_parse(Lake(spark, str(tmp_path)), universe(spark, "AAPL"), METRICS)

@@ -42,10 +42,27 @@ def dates_within(dates: Sequence[dt.date], first: Column, until: Column) -> Colu
     """Array of the calendar `dates` d with first <= d < until.
 
     Exploding it joins a fact to the calendar dates at which it counts without a range join: only
-    matching pairs are produced, and nothing is shuffled.
+    matching pairs are produced, and nothing is shuffled. The months of the bounds give positions in
+    the sorted calendar, so a fact looks at the dates between them and not at the whole calendar.
     """
-    calendar = F.lit(sorted(dates)) if dates else F.array().cast("array<date>")
-    return F.filter(calendar, lambda day: (day >= first) & (day < until))
+    none = F.array().cast("array<date>")
+    if not dates:
+        return none
+    ordered = sorted(dates)
+
+    def month(day: dt.date) -> int:
+        return day.year * 12 + day.month
+
+    start, months = month(ordered[0]), month(ordered[-1]) - month(ordered[0]) + 1
+    before = F.lit([sum(month(day) < start + k for day in ordered) for k in range(months + 1)])
+
+    def position(day: Column, shift: int) -> Column:
+        at = F.year(day) * 12 + F.month(day) - start + shift
+        return F.get(before, F.greatest(F.least(at, F.lit(months)), F.lit(0)))
+
+    low, high = position(first, 0), position(until, 1)
+    near = F.slice(F.lit(ordered), low + 1, F.greatest(high - low, F.lit(0)))
+    return F.coalesce(F.filter(near, lambda day: (day >= first) & (day < until)), none)
 
 
 def nearest_on_or_after(

@@ -228,23 +228,12 @@ def unmapped_tickers(prices: DataFrame, entity_ticker: DataFrame) -> DataFrame:
     )
 
 
-def best_tag_points(
-    points: DataFrame, keys: Sequence[str], *, one_document: bool = False
-) -> DataFrame:
+def best_tag_points(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Points of the best (lowest) `priority` that has any point for the key.
 
-    The general form finds the best priority with a pre-aggregated minimum and joins it back, so a
-    key holding a large share of the rows is neither sorted nor collected in one task (adaptive
-    skew join splits it). With `one_document=True` the keys name a single payload, whose size is
-    bounded by its row, and a window saves reading the input twice.
+    The best priority is a pre-aggregated minimum that is joined back, so a key holding a large
+    share of the rows is neither sorted nor collected in one task (adaptive skew join splits it).
     """
-    if one_document:
-        best = F.min("priority").over(Window.partitionBy(*keys))
-        return (
-            points.withColumn("__best", best)
-            .where(F.col("priority") == F.col("__best"))
-            .drop("__best")
-        )
     best = points.groupBy(*keys).agg(F.min("priority").alias("__best"))
     return (
         null_safe_join(points, best, keys)

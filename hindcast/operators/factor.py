@@ -10,7 +10,7 @@ read as of `price_as_of` in both, because a closing price is never known on its
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from hindcast import schemas
 from hindcast.functions.calendar import is_single_quarter
 from hindcast.operators.asof import as_of, dates_within, known_at, nearest_on_or_after
-from hindcast.operators.frames import null_safe_join
 
 POINT_IN_TIME = "point_in_time"
 LATEST = "latest"
@@ -27,7 +26,6 @@ PORTFOLIO_SIZE = 10
 MIN_COHORT = 20
 PERIODS_PER_YEAR = 4
 
-_ITEM = ["entity_id", "period_start", "period_end"]
 
 
 def _first_midnight(instant: Column) -> Column:
@@ -61,53 +59,80 @@ def _read_points(
 
 
 def last_periods(
-    facts: DataFrame, dates: Sequence[dt.date], latest_as_of: Column, count: int
+    facts: DataFrame, dates: Sequence[dt.date], latest_as_of: Column, counts: Mapping[str, int]
 ) -> DataFrame:
-    """The `count` latest periods known and ended per (mode, date, entity), one row each.
-
-    A period that is known stays known, so it leaves the last `count` for good once `count` later
-    ones are known. That day bounds the dates a version is paired with, which keeps the pairs
-    proportional to the result instead of facts times dates. The bound is only used where the
-    windows of the later periods have no gap; the exact rank is taken afterwards.
+    """The latest periods known and ended per (mode, date, entity, metric), one row each.
+
+    `counts` says how many of each metric; rows of other metrics are left out. A period that is
+    known stays known, so it leaves the last n for good once n later ones are known. That day bounds
+    the dates a version is paired with, which keeps the pairs proportional to the result instead of
+    facts times dates. The bound is only used where the windows of the later periods have no gap;
+    the exact rank is taken afterwards. Everything happens in one partitioning by entity, whose rows
+    are bounded by its calendar and restatements.
     """
+    item = ["entity_id", "metric_code", "period_start", "period_end"]
+    series = ["entity_id", "metric_code"]
+    wanted = facts.where(F.col("metric_code").isin(list(counts))).repartition("entity_id")
+    versions = Window.partitionBy(*item)
     length = F.unix_micros("knowledge_to") - F.unix_micros("knowledge_from")
-    items = facts.groupBy(*_ITEM).agg(
-        F.min("knowledge_from").alias("first_known"),
-        F.max("knowledge_to").alias("last_known"),
-        # NULL on overflow, which only overlapping windows could reach: then no bound is used.
-        F.try_sum(length).alias("covered"),
-    )
-    whole = F.unix_micros("last_known") - F.unix_micros("first_known")
+    items = wanted.withColumns(
+        {
+            "__first": F.min("knowledge_from").over(versions),
+            "__last": F.max("knowledge_to").over(versions),
+            # NULL on overflow, which only overlapping windows could reach: then no bound is used.
+            "__covered": F.try_sum(length).over(versions),
+            "__nth": F.dense_rank().over(Window.partitionBy(*series).orderBy("period_end", "period_start")),
+        }
+    )
+    whole = F.unix_micros("__last") - F.unix_micros("__first")
     never = F.lit(dt.date.max)
-    stays_known = (F.col("last_known") == schemas.open_end()) & (F.col("covered") == whole)
+    stays_known = (F.col("__last") == schemas.open_end()) & (F.col("__covered") == whole)
     usable = F.when(
-        stays_known & (F.col("first_known") <= latest_as_of),
-        F.greatest(_first_midnight(F.col("first_known")), F.col("period_end")),
+        stays_known & (F.col("__first") <= latest_as_of),
+        F.greatest(_first_midnight(F.col("__first")), F.col("period_end")),
     ).otherwise(never)
-    # One row per reporting period of an entity, so a group is bounded by its calendar.
-    later = Window.partitionBy("entity_id").orderBy("period_end", "period_start").rowsBetween(1, count)
-    retired = F.when(F.count(F.lit(1)).over(later) == count, F.max(usable).over(later))
-    bounds = items.withColumn("usable", usable).select(
-        *_ITEM, F.coalesce(retired, never).alias("retired")
-    )
-    paired = null_safe_join(facts, bounds, _ITEM).select(
-        "*",
+    items = items.withColumn("__usable", usable)
+    retired, most = F.lit(None).cast("date"), F.lit(0)
+    for metric, count in counts.items():
+        later = Window.partitionBy(*series).orderBy("__nth").rangeBetween(1, count)
+        full = F.max("__nth").over(later) - F.col("__nth") == count
+        own = F.col("metric_code") == metric
+        retired = F.when(own, F.when(full, F.max("__usable").over(later))).otherwise(retired)
+        most = F.when(own, F.lit(count)).otherwise(most)
+    paired = items.withColumn("__retired", F.coalesce(retired, never)).select(
+        *facts.columns,
         F.inline(
-            _read_points(
-                dates, F.col("period_end"), F.col("retired"), known_at(latest_as_of)
-            )
+            _read_points(dates, F.col("period_end"), F.col("__retired"), known_at(latest_as_of))
         ),
     )
-    newest_first = Window.partitionBy("mode", "date", "entity_id").orderBy(
+    newest_first = Window.partitionBy("mode", "date", *series).orderBy(
         F.col("period_end").desc(), F.col("period_start").desc_nulls_last(), F.col("fact_id").desc()
     )
-    return (
-        paired.withColumn("recency", F.row_number().over(newest_first))
-        .where(F.col("recency") <= count)
-        .drop("retired")
+    return paired.withColumn("recency", F.row_number().over(newest_first)).where(
+        F.col("recency") <= most
     )
 
 
+def _usable_rows(metric: str) -> Column:
+    """Rows of `metric` that make up a trailing sum: single quarters only."""
+    return (F.col("metric_code") == metric) & is_single_quarter(
+        F.col("period_start"), F.col("period_end")
+    )
+
+
+def _trailing(metric: str) -> list[Column]:
+    own = F.col("metric_code") == metric
+    fact = F.struct("period_end", "period_start", "fact_id", "accession_no", "value")
+    return [
+        F.count_if(own).alias("n_quarters"),
+        F.sum(F.when(own, F.col("value"))).alias("ttm_value"),
+        F.datediff(
+            F.max(F.when(own, F.col("period_end"))), F.min(F.when(own, F.col("period_start")))
+        ).alias("span_days"),
+        F.array_sort(F.collect_list(F.when(own, fact))).alias("facts"),
+    ]
+
+
 def ttm_panel(
     facts: DataFrame,
     dates: Sequence[dt.date],
@@ -121,20 +146,10 @@ def ttm_panel(
     Fewer than four quarters give no row. `span_days` shows sums over quarters that are not
     consecutive: the fourth quarter is often missing.
     """
-    single = facts.where(
-        (F.col("metric_code") == metric)
-        & is_single_quarter(F.col("period_start"), F.col("period_end"))
-    )
-    rows = last_periods(single, dates, latest_as_of, quarters)
-    fact = F.struct("period_end", "period_start", "fact_id", "accession_no", "value")
+    rows = last_periods(facts.where(_usable_rows(metric)), dates, latest_as_of, {metric: quarters})
     return (
         rows.groupBy("mode", "date", "entity_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_quarters"),
-            F.sum("value").alias("ttm_value"),
-            F.datediff(F.max("period_end"), F.min("period_start")).alias("span_days"),
-            F.array_sort(F.collect_list(fact)).alias("facts"),
-        )
+        .agg(*_trailing(metric))
         .where(F.col("n_quarters") == quarters)
         .drop("n_quarters")
     )
@@ -148,11 +163,32 @@ def latest_fact_panel(
     metric: str = "shares_outstanding_diluted",
 ) -> DataFrame:
     """The latest period's fact of a metric per (mode, date, entity), of any duration."""
+    return last_periods(facts, dates, latest_as_of, {metric: 1}).select(
+        "mode", "date", "entity_id", "period_end", "fact_id", "accession_no", "value"
+    )
+
+
+def ttm_and_shares(
+    facts: DataFrame,
+    dates: Sequence[dt.date],
+    latest_as_of: Column,
+    *,
+    income: str = "net_income",
+    shares: str = "shares_outstanding_diluted",
+    quarters: int = TTM_QUARTERS,
+) -> DataFrame:
+    """Both panels side by side in one pass over the facts, where both exist."""
     rows = last_periods(
-        facts.where(F.col("metric_code") == metric), dates, latest_as_of, 1
+        facts.where(_usable_rows(income) | (F.col("metric_code") == shares)),
+        dates, latest_as_of, {income: quarters, shares: 1},
     )
-    return rows.select(
-        "mode", "date", "entity_id", "period_end", "fact_id", "accession_no", "value"
+    held = F.struct(F.col("value").cast("double").alias("shares"), F.col("fact_id").alias("shares_fact_id"))
+    return (
+        rows.groupBy("mode", "date", "entity_id")
+        .agg(*_trailing(income), F.max(F.when(F.col("metric_code") == shares, held)).alias("__s"))
+        .where((F.col("n_quarters") == quarters) & F.col("__s").isNotNull())
+        .select("*", "__s.*")
+        .drop("n_quarters", "__s")
     )
 
 
@@ -197,18 +233,7 @@ def earnings_yield_panel(
     A ticker without four quarters, a positive share count, a price within ten days or a positive
     market value has no row.
     """
-    ttm = ttm_panel(facts, dates, latest_as_of)
-    shares = (
-        latest_fact_panel(facts, dates, latest_as_of)
-        .where(F.col("value") > 0)
-        .select(
-            "mode",
-            "date",
-            "entity_id",
-            F.col("value").cast("double").alias("shares"),
-            F.col("fact_id").alias("shares_fact_id"),
-        )
-    )
+    ttm = ttm_and_shares(facts, dates, latest_as_of).where(F.col("shares") > 0)
     tickers = _tickers_on_dates(mapping, dates, latest_as_of).join(universe, "ticker")
     close = nearest_on_or_after(
         priced_tickers(prices, mapping, price_as_of, price_source),
@@ -218,8 +243,7 @@ def earnings_yield_panel(
     )
     on = ["mode", "date", "entity_id"]
     return (
-        ttm.join(shares, on)
-        .join(tickers, on)
+        ttm.join(tickers, on)
         .join(close, ["date", "ticker"])
         .withColumn("market_cap", F.col("shares") * F.col("price"))
         .where(F.col("market_cap") > 0)

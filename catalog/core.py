@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog import oracle, views
 from catalog.oracle import OPEN, day, knowledge, ts, with_parts
 from catalog.registry import query
-from catalog.views import REBALANCE_DATES, Tables
+from catalog.views import Tables
 from hindcast import schemas
 from hindcast.functions import calendar
 from hindcast.operators import asof, chain, coverage, integrity, scd2
@@ -18,6 +18,9 @@ from hindcast.plans.reader import PointInTime
 from hindcast.session import cut_lineage
 from hindcast.sources import payloads
 
+# Low enough that keys of the given tables take the path of hot keys.
+HOT_ROWS = 8
+
 _FACT_COLUMNS = [
     "entity_id", "metric_code", "period_start", "period_end", "value", "unit", "accession_no",
     "filed_date", "knowledge_from", "knowledge_to",
@@ -38,6 +41,16 @@ def fact_chain(t: Tables) -> DataFrame:
     return facts.select(*_FACT_COLUMNS, F.col("prior_version").alias("prior_accession"))
 
 
+@query(with_parts(["facts"], f"select {_FACT_SQL}, prior_accession from facts"))
+def fact_chain_hot(t: Tables) -> DataFrame:
+    """The same chains, with every longer key scanned in chunks as a hot one is."""
+    stg = views.stg_facts(t)
+    known, _ = chain.with_entity(chain.loadable(stg), views.entity(t))
+    keys = ["entity_id", "metric_code", "period_start", "period_end"]
+    facts = chain.version_chain(known, keys, lag_days=1, total=stg, hot_key_rows=HOT_ROWS)
+    return facts.select(*_FACT_COLUMNS, F.col("prior_version").alias("prior_accession"))
+
+
 def _reader(t: Tables, day_: str, **facts: DataFrame) -> PointInTime:
     return PointInTime(
         dt.datetime.fromisoformat(day_).replace(tzinfo=dt.UTC),
@@ -123,6 +136,22 @@ def price_chain(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    with_parts(
+        ["prices"],
+        f"""select entity_id, source, {day('trade_date')} as trade_date, close,
+                   round(adj_close, 6) as adj_close, volume, payload_id,
+                   {ts('knowledge_from')} as knowledge_from, {ts('knowledge_to')} as knowledge_to
+            from prices""",
+    )
+)
+def price_chain_hot(t: Tables) -> DataFrame:
+    return views.price_facts(t, hot_key_rows=2).select(
+        "entity_id", "source", "trade_date", "close", "adj_close", "volume", "payload_id",
+        "knowledge_from", "knowledge_to",
+    )
+
+
 @query(
     with_parts(
         ["stg"],
@@ -298,7 +327,7 @@ def temporal_join(t: Tables) -> DataFrame:
 )
 def forward_asof_price(t: Tables) -> DataFrame:
     current = asof.current_versions(views.price_facts(t)).where(F.col("source") == "tiingo")
-    return asof.nearest_on_or_after(current, REBALANCE_DATES, by=["entity_id"], value="close")
+    return asof.nearest_on_or_after(current, views.rebalance_dates(t), by=["entity_id"], value="close")
 
 
 @query(
@@ -317,7 +346,7 @@ def backward_asof_latest(t: Tables) -> DataFrame:
     orders = t.orders.withColumn("order_day", F.col("o_orderdate").cast("date"))
     return asof.latest_on_or_before(
         orders,
-        REBALANCE_DATES,
+        views.rebalance_dates(t),
         by=["o_custkey"],
         day="order_day",
         payload=["o_totalprice", "o_orderkey"],
@@ -525,6 +554,25 @@ def overlap_violations(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    with_parts(
+        [],
+        f"""select o_custkey, o_orderkey, {ts('knowledge_from')} as knowledge_from,
+                   {ts('knowledge_to')} as knowledge_to, {ts('held_until')} as held_until
+            from (select *, max(knowledge_to) over (
+                    partition by o_custkey order by knowledge_from, knowledge_to, o_orderkey
+                    rows between unbounded preceding and 1 preceding) as held_until
+                  from win where knowledge_from < knowledge_to)
+            where held_until > knowledge_from""",
+        _WINDOWS,
+    )
+)
+def overlap_hot(t: Tables) -> DataFrame:
+    return integrity.overlap_violations(
+        _order_windows(t), ["o_custkey"], tie=["knowledge_to", "o_orderkey"], hot_key_rows=HOT_ROWS
+    )
+
+
 @query(
     with_parts(
         [],
@@ -625,23 +673,89 @@ def log_mutations(t: Tables) -> DataFrame:
     return integrity.log_mutations(before, after)
 
 
+def _seeded(t: Tables) -> DataFrame:
+    """The fact table with every kind of fault put into some of its rows."""
+    facts = views.fundamental_facts(t)
+    n = F.col("payload_id")
+    broken = facts.withColumns(
+        {
+            "knowledge_from": F.when(n % 89 == 1, F.col("filed_date").cast("timestamp") - F.expr("INTERVAL 1 DAY"))
+            .otherwise(F.col("knowledge_from")),
+            "knowledge_to": F.when(n % 97 == 0, F.col("knowledge_from")).otherwise(F.col("knowledge_to")),
+            "entity_id": F.when(n % 79 == 3, F.col("entity_id") + 1_000_000).otherwise(F.col("entity_id")),
+            "payload_id": F.when(n % 83 == 2, -n - 1).otherwise(n),
+            "supersedes": F.when((n % 71 == 5) & F.col("supersedes").isNotNull(), F.lit(-1))
+            .otherwise(F.col("supersedes")),
+        }
+    )
+    twice = F.explode(F.when(n % 73 == 4, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return cut_lineage(broken.withColumn("copy", twice).drop("copy"))
+
+
+_SEEDED = {
+    "seeded": f"""
+      select * replace (
+        case when n % 89 = 1 then cast(filed_date as timestamp) - interval 1 day else knowledge_from end as knowledge_from,
+        case when n % 97 = 0 then knowledge_from else knowledge_to end as knowledge_to,
+        case when n % 79 = 3 then entity_id + 1000000 else entity_id end as entity_id,
+        case when n % 83 = 2 then -n - 1 else n end as payload_id)
+      from (select *, payload_id as n from facts)
+      cross join lateral (select unnest(case when n % 73 = 4 then [1, 2] else [1] end) as copy)""",
+    "fact_key": "select *, (entity_id, metric_code, period_start, period_end) as k from seeded",
+}
+
+
 @query(
-    """select unnest(['no_overlap', 'one_open_row', 'not_known_early', 'window_order',
-                      'payload_lineage', 'known_entity', 'supersedes_exists']) as invariant,
-              cast(0 as bigint) as violations"""
+    with_parts(
+        ["facts", "entity"],
+        f"""select 'no_overlap' as invariant, (
+              select count(*) from (
+                select knowledge_from, max(knowledge_to) over (
+                  partition by k order by knowledge_from, knowledge_to
+                  rows between unbounded preceding and 1 preceding) as held_until
+                from fact_key where knowledge_from < knowledge_to)
+              where held_until > knowledge_from) as violations
+            union all select 'one_open_row', (select count(*) from (
+              select k from fact_key where knowledge_to = {OPEN} group by k having count(*) > 1))
+            union all select 'not_known_early',
+              (select count(*) from seeded where knowledge_from < cast(filed_date as timestamp))
+            union all select 'window_order', (select count(*) from seeded where knowledge_from >= knowledge_to)
+            union all select 'payload_lineage', (select count(*) from seeded where payload_id < 0)
+            union all select 'known_entity', (select count(*) from seeded where entity_id >= 1000000)
+            union all select 'supersedes_exists',
+              (select count(*) from seeded where n % 71 = 5 and prior_accession is not null)
+            union all select 'unique_version', (select count(*) from (
+              select k from fact_key group by k, knowledge_from having count(*) > 1))
+            union all select 'unique_id', (select count(*) from facts where payload_id % 73 = 4)""",
+        _SEEDED,
+    )
 )
 def fundamental_invariants(t: Tables) -> DataFrame:
+    """What a load would be refused for, on facts into which every kind of fault was put."""
     events = t.events.select(F.col("event_id").alias("payload_id"))
-    facts = cut_lineage(views.fundamental_facts(t))
-    return integrity.fundamental_invariants(facts, events, views.entity(t))
+    return integrity.fundamental_invariants(_seeded(t), events, views.entity(t))
 
 
 @query(
     with_parts(
         ["prices"],
-        f"""select 'no_overlap' as invariant, cast(0 as bigint) as violations
-            union all select 'one_open_row', 0 union all select 'not_known_early', 0
+        f"""select 'no_overlap' as invariant, (
+              select count(*) from (
+                select knowledge_from, max(knowledge_to) over (
+                  partition by entity_id, source, trade_date order by knowledge_from, knowledge_to
+                  rows between unbounded preceding and 1 preceding) as held_until
+                from prices where knowledge_from < knowledge_to)
+              where held_until > knowledge_from) as violations
+            union all select 'one_open_row', (select count(*) from (
+              select 1 from prices where knowledge_to = {OPEN}
+              group by entity_id, source, trade_date having count(*) > 1))
+            union all select 'not_known_early',
+              (select count(*) from prices where knowledge_from < cast(trade_date as timestamp))
             union all select 'window_order', (select count(*) from prices where knowledge_from >= knowledge_to)
+            union all select 'unique_version', (select count(*) from (
+              select 1 from prices group by entity_id, source, trade_date, knowledge_from having count(*) > 1))
+            union all select 'unique_id', (select count(*) from (
+              select 1 from prices group by entity_id, source, trade_date, knowledge_from having count(*) > 1))
             union all select 'payload_lineage',
               (select count(*) from prices where payload_id not in (select o_orderkey from orders))
             union all select 'known_entity',

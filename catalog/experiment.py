@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog import views
 from catalog.oracle import day, with_parts
 from catalog.registry import query
-from catalog.views import REBALANCE_DATES, Tables
+from catalog.views import Tables
 from hindcast.operators import factor
 from hindcast.session import cut_lineage
 
@@ -26,7 +26,7 @@ def _facts(t: Tables) -> DataFrame:
     )
 )
 def ttm_panel(t: Tables) -> DataFrame:
-    panel = factor.ttm_panel(_facts(t), REBALANCE_DATES, views.now())
+    panel = factor.ttm_panel(_facts(t), views.rebalance_dates(t), views.now())
     return panel.withColumn("accessions", F.col("facts.accession_no")).drop("facts")
 
 
@@ -38,7 +38,7 @@ def ttm_panel(t: Tables) -> DataFrame:
     )
 )
 def shares_panel(t: Tables) -> DataFrame:
-    panel = factor.latest_fact_panel(_facts(t), REBALANCE_DATES, views.now())
+    panel = factor.latest_fact_panel(_facts(t), views.rebalance_dates(t), views.now())
     return panel.drop("fact_id", "accession_no")
 
 
@@ -52,7 +52,7 @@ def _panel(t: Tables, prices: DataFrame | None = None) -> DataFrame:
         views.price_facts(t) if prices is None else prices,
         views.entity_ticker(t),
         views.universe(t),
-        REBALANCE_DATES,
+        views.rebalance_dates(t),
         latest_as_of=views.now(),
         price_as_of=views.now(),
     )
@@ -85,7 +85,7 @@ def _positions_and_returns(t: Tables) -> tuple[DataFrame, DataFrame]:
         positions,
         prices,
         views.entity_ticker(t),
-        REBALANCE_DATES,
+        views.rebalance_dates(t),
         price_as_of=views.now(),
     )
 

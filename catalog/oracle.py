@@ -152,8 +152,11 @@ PARTS["prices"] = f"""
 
 # ---- The factor experiment ----
 PARTS["cal"] = """
-  select cast(unnest(generate_series(timestamp '1996-01-01', timestamp '2001-07-01',
-                                     interval 3 month)) as date) as date
+  select date from (
+    select cast(unnest(generate_series(date_trunc('quarter', lo), cast(hi as timestamp),
+                                       interval 3 month)) as date) as date, lo
+    from (select cast(min(l_shipdate) as date) as lo, cast(max(l_shipdate) as date) as hi from lineitem))
+  where date >= lo
 """
 PARTS["modes"] = f"""
   select 'point_in_time' as mode, date, cast(date as timestamp) as fundamentals_as_of from cal

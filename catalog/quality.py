@@ -290,6 +290,23 @@ def check_freshness(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    with_parts(
+        ["payload"],
+        f"""select source, ticker, payload_id, {ts('fetched_at')} as fetched_at,
+                   cast(unchanged as bigint) as unchanged, days_since_previous_fetch,
+                   expected_refresh_days, status, dimension_key from freshr""",
+        _FRESH,
+    )
+)
+def freshness_hot(t: Tables) -> DataFrame:
+    log = _feed_log(t).withColumn("ticker", F.col("request_params")["ticker"])
+    return checks.freshness_detail(log, **_FRESH_OPTIONS, hot_key_rows=8).select(
+        "source", "ticker", "payload_id", "fetched_at", "unchanged", "days_since_previous_fetch",
+        "expected_refresh_days", "status", "dimension_key",
+    )
+
+
 _TAGS = {
     "tags": """
       select f.entity_id, e.cik, metric_code,
@@ -430,9 +447,11 @@ def exception_advance(t: Tables) -> DataFrame:
 
 # ---- Feeds ----
 
-_SLA = [(f"src{i}", 1 + i % 7, 3 + i % 11) for i in range(24)]
 _FEED_SQL = {
-    "sla": "select 'src' || i as source, 1 + i % 7 as expected_days, 3 + i % 11 as max_days from range(24) r(i)",
+    "sla": """
+      select source, 1 + i % 7 as expected_days, 3 + i % 11 as max_days
+      from (select distinct source, cast(substr(source, 4) as bigint) as i from documents
+            union select source || '0', cast(substr(source, 4) as bigint) + 1000 from documents)""",
     "feed_age": """
       select s.*, m.last_fetched_at,
              (epoch_us(timestamp '2024-02-18 12:00:00') - epoch_us(m.last_fetched_at)) / 86400000000.0
@@ -457,8 +476,18 @@ def _feed_status(t: Tables) -> DataFrame:
     log = t.documents.select(
         "source", (F.lit("2024-01-01 00:00:00").cast("timestamp") + hours - days).alias("fetched_at")
     )
-    sla = literal_table(
-        t.spark, _SLA, "source string, expected_refresh_days int, max_staleness_days int"
+    # Every feed of the table, and one more each, of which most have no data.
+    number = F.substring("source", 4, 20).cast("bigint")
+    promised = t.documents.select(
+        F.inline(F.array(
+            F.struct(F.col("source"), number.alias("i")),
+            F.struct(F.concat("source", F.lit("0")).alias("source"), (number + 1000).alias("i")),
+        ))
+    ).distinct()
+    sla = promised.select(
+        "source",
+        (1 + F.col("i") % 7).alias("expected_refresh_days"),
+        (3 + F.col("i") % 11).alias("max_staleness_days"),
     )
     return feeds.feed_status(log, sla, F.lit("2024-02-18 12:00:00").cast("timestamp"))
 

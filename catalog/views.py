@@ -19,7 +19,6 @@ METRIC_OF_EVENT = {
     "signup": "total_equity",
 }
 INSTANT_METRICS = ["total_assets", "total_equity"]
-REBALANCE_DATES = quarter_start_dates(dt.date(1996, 1, 1), dt.date(2001, 7, 1))
 NOW = "2024-06-01 00:00:00"
 
 
@@ -37,6 +36,14 @@ class Tables:
         return table
 
 
+def rebalance_dates(t: Tables) -> list[dt.date]:
+    """Quarter starts within the days that `lineitem` covers."""
+    first, last = t.lineitem.agg(
+        F.min("l_shipdate").cast("date"), F.max("l_shipdate").cast("date")
+    ).first()
+    return [] if first is None else quarter_start_dates(first, last)
+
+
 def now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
@@ -189,8 +196,8 @@ def price_observations(t: Tables) -> DataFrame:
     )
 
 
-def price_facts(t: Tables) -> DataFrame:
-    rows = chain.price_chain(price_observations(t), lag_days=1, order=PRICE_ORDER)
+def price_facts(t: Tables, **options) -> DataFrame:
+    rows = chain.price_chain(price_observations(t), lag_days=1, order=PRICE_ORDER, **options)
     return rows.withColumns(
         {name: F.lit(None).cast("double") for name in ("open", "high", "low")}
         | {"fact_id": F.xxhash64("entity_id", "source", "trade_date", "knowledge_from")}

@@ -675,8 +675,8 @@ def log_mutations(t: Tables) -> DataFrame:
 
 def _seeded(t: Tables) -> DataFrame:
     """The fact table with every kind of fault put into some of its rows."""
-    facts = views.fundamental_facts(t)
-    n = F.col("payload_id")
+    facts = views.fundamental_facts(t).withColumn("n", F.col("payload_id"))
+    n = F.col("n")
     broken = facts.withColumns(
         {
             "knowledge_from": F.when(n % 89 == 1, F.col("filed_date").cast("timestamp") - F.expr("INTERVAL 1 DAY"))
@@ -689,7 +689,7 @@ def _seeded(t: Tables) -> DataFrame:
         }
     )
     twice = F.explode(F.when(n % 73 == 4, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
-    return cut_lineage(broken.withColumn("copy", twice).drop("copy"))
+    return cut_lineage(broken.withColumn("copy", twice).drop("copy", "n"))
 
 
 _SEEDED = {

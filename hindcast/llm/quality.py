@@ -42,7 +42,7 @@ RULES = (
     Rule("mean word length", "mean_word_chars", 2.0, 14.0),
     Rule("symbols per word", "symbols_per_word", high=0.2),
     Rule("words that are stop words", "stop_word_share", low=0.02),
-    Rule("lines that repeat an earlier line", "dup_line_share", high=0.3),
+    Rule("lines that repeat an earlier line", "dup_line_share", high=0.5),
     Rule("words with a letter", "letter_word_share", low=0.7),
     Rule("letters in upper case", "upper_letter_share", high=0.5),
     Rule("lines that start with a bullet", "bullet_line_share", high=0.9),

@@ -190,7 +190,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        not base_failed and word_chars / n_words between 2 and 14 and n_symbols / n_words <= 0.2
          and n_stops / n_words >= 0.02 and n_letter_words / n_words >= 0.7
          and coalesce(n_upper / nullif(n_letters, 0), 0) <= 0.5
-         and coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.3
+         and coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5
          and coalesce(n_bullets / nullif(n_lines, 0), 0) <= 0.9
          and coalesce(n_ellipses / nullif(n_lines, 0), 0) <= 0.3 as kept
 from b

@@ -48,9 +48,10 @@ SIMILAR_WORDS = 5
 # Two sets of similarity s share none of their k smallest hashes with a chance of about (1 - s)^k:
 # one in 15,000 at 0.8 and k = 6.
 SKETCH_KEYS = 6
-# Linked sets of similarity 0.8 differ in 9.7 bits, standard deviation 2.9; beyond 24 (five
-# deviations) no pair is confirmed.
+# Fingerprints of sets of similarity 0.8 differ in 9.7 bits, standard deviation 2.9; beyond 24 (five
+# deviations) sets are not compared. Small sets, whose votes are close, are compared in any case.
 SIMILAR_BITS = 24
+FEW_SHINGLES = 64
 # A block of a shard holds at most so many rows and shingles (of four bytes), or one row.
 BLOCK_ROWS = 1_024
 BLOCK_SHINGLES = 2_000_000
@@ -304,7 +305,8 @@ def link_similar(fps: np.ndarray, sets: list[np.ndarray], similarity: float, gro
     overlaps = None
     for k in left:
         away = _distance(fps[right], fps[k])
-        fits = (away <= SIMILAR_BITS) & (groups.root[right] != groups.root[k])
+        near = away <= SIMILAR_BITS if sizes[k] >= FEW_SHINGLES else away >= 0
+        fits = near & (groups.root[right] != groups.root[k])
         fits &= (sizes[right] >= similarity * sizes[k]) & (sizes[right] * similarity <= sizes[k])
         others = right[fits][np.argsort(away[fits], kind="stable")]
         for other in others[:TESTS]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog import views
@@ -50,6 +50,35 @@ def check_cross_vendor(t: Tables) -> DataFrame:
     return checks.cross_vendor_detail(views.price_facts(t), views.entity(t), RULE).drop("cik")
 
 
+@query(
+    with_parts(
+        ["prices", "entity"],
+        """select dimension_key, status, case when streak >= 3 then 'BREAK' else 'WARN' end as severity,
+                  round(left_value, 6) as left_value, round(right_value, 6) as right_value,
+                  round(relative_diff, 6) as relative_diff, 'relative' as tolerance_type,
+                  cast(0.015 as double) as tolerance from xv""",
+        _XV,
+    )
+)
+def check_documents(t: Tables) -> DataFrame:
+    """What the stored results say was observed and expected, read back from their JSON."""
+    results = checks.check_cross_vendor_price(views.price_facts(t), views.entity(t), [RULE])
+
+    def number(document: str, path: str) -> Column:
+        return F.get_json_object(document, path).cast("double")
+
+    return results.select(
+        "dimension_key",
+        "status",
+        "severity",
+        number("observed", "$.left").alias("left_value"),
+        number("observed", "$.right").alias("right_value"),
+        number("observed", "$.relative_diff").alias("relative_diff"),
+        F.get_json_object("expected", "$.tolerance_type").alias("tolerance_type"),
+        number("expected", "$.tolerance").alias("tolerance"),
+    )
+
+
 _BALANCE = {
     "inst": """
       select lpad(cast(user_id as varchar), 10, '0') as cik, last_day(cast(ts as date) - 60) as period_end,

@@ -439,27 +439,29 @@ def case_studies(differences: DataFrame, panel: DataFrame) -> DataFrame:
     A position that one mode had no data for has none. `panel` is read twice: pass a stored one.
     """
 
-    def facts_of(mode: str, prefix: str) -> DataFrame:
-        exploded = panel.where(F.col("mode") == mode).select(
-            "date", "ticker", F.explode("facts").alias("fact")
-        )
+    def facts_of(mode: str) -> DataFrame:
+        return panel.where(F.col("mode") == mode).select("date", "ticker", F.col("facts").alias(mode))
+
+    def of_period(facts: Column, period_end: Column) -> Column:
         # Should two quarters end on one day, the later start stands for it.
-        per_period = exploded.groupBy("date", "ticker", "fact.period_end").agg(
-            F.max("fact").alias("fact")
-        )
-        return per_period.select(
-            "date",
-            "ticker",
+        return F.array_max(F.filter(facts, lambda fact: fact["period_end"] == period_end))
+
+    # A position has as many facts as a trailing sum has quarters, so they meet inside its row.
+    both = (
+        differences.join(facts_of(POINT_IN_TIME), ["date", "ticker"])
+        .join(facts_of(LATEST), ["date", "ticker"])
+        .withColumn(
             "period_end",
-            *[
-                F.col(f"fact.{name}").alias(f"{prefix}_{name}")
-                for name in ("fact_id", "accession_no", "value")
-            ],
+            F.explode(F.array_distinct(F.transform(POINT_IN_TIME, lambda fact: fact["period_end"]))),
         )
-
-    period = ["date", "ticker", "period_end"]
+    )
+    traced = {
+        f"{mode}_{name}": of_period(F.col(mode), F.col("period_end"))[name]
+        for mode in (POINT_IN_TIME, LATEST)
+        for name in ("fact_id", "accession_no", "value")
+    }
     return (
-        differences.join(facts_of(POINT_IN_TIME, "point_in_time"), ["date", "ticker"])
-        .join(facts_of(LATEST, "latest"), period)
+        both.withColumns(traced)
+        .drop(POINT_IN_TIME, LATEST)
         .where(F.col("point_in_time_value") != F.col("latest_value"))
     )

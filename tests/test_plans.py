@@ -7,7 +7,9 @@ from helpers import entities
 
 import __spark_entry__ as entry
 from catalog import views
-from hindcast.operators import chain
+from hindcast.operators import chain, factor
+from hindcast.session import cut_lineage
+from hindcast.sources import payloads
 
 DIRECTORY = "/root/testdata/sf0.001"
 PLANNED = [
@@ -61,5 +63,26 @@ def test_rankings_are_limited_before_the_shuffle(spark):
 
 
 def test_documents_are_parsed_once(spark):
-    for name in ("json_companyfacts", "price_json_parse"):
+    for name in ("json_companyfacts", "price_json_parse", "json_instant_values"):
         assert plan(entry.queries()[name](spark, DIRECTORY)).count("from_json(") == 1
+
+
+def test_tag_priority_moves_nothing(spark):
+    text = plan(entry.queries()["json_companyfacts"](spark, DIRECTORY))
+    # The one exchange spreads the narrow rows that documents are made of.
+    assert text.count("Exchange") == 1 and "Window" not in text
+
+
+def test_the_factor_panel_is_one_pass_over_the_facts(spark):
+    t = views.Tables(spark, DIRECTORY)
+    facts = cut_lineage(views.quarterly_facts(t))
+    text = plan(factor.ttm_and_shares(facts, views.rebalance_dates(t), views.now()))
+    assert text.count("Exchange") == 1 and "Join" not in text
+
+
+def test_bodies_are_not_shuffled_when_landing(spark):
+    rows = payloads.identified(views.payload(views.Tables(spark, DIRECTORY)), "run")
+    assert "Exchange" not in plan(rows)
+    narrow = rows.select("source", "content_sha256", "fetched_at", "payload_id")
+    seen = plan(payloads.mark_seen(narrow, narrow))
+    assert not [line for line in seen.splitlines() if "Exchange" in line and "body" in line]

@@ -58,5 +58,14 @@ def test_small_rules(spark):
     assert rows(integrity.early_knowledge_violations(dated, "filed_date").select("id")) == [(0,)]
     assert integrity.domain_violations(df, "k", ["a"]).count() == 1
     assert integrity.domain_violations(df.withColumn("k", F.lit(None).cast("string")), "k", ["a"]).count() == 3
-    with pytest.raises(ValueError, match="inverted"):
-        integrity.failing(integrity.window_violations(df), "inverted window")
+
+
+def test_entity_tables_are_reported(spark):
+    entity = spark.createDataFrame([(1, "a", "A"), (2, "a", "B"), (3, "c", "C")], "entity_id long, cik string, name string")
+    mapping = windows(spark, [("X", "2021-01-01", OPEN), ("X", "2021-02-01", OPEN)]).withColumnRenamed("k", "ticker")
+    mapping = mapping.withColumn("entity_id", F.lit(9).cast("bigint"))
+    report = {r.invariant: r.violations for r in integrity.entity_invariants(entity, mapping).collect()}
+    assert report == {
+        "unique_cik": 1, "unique_entity": 0, "one_open_ticker": 1, "one_open_holder": 1, "no_overlap": 1,
+        "window_order": 0, "known_entity": 2,
+    }

@@ -13,50 +13,65 @@ often as they occur.
 
 from __future__ import annotations
 
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 PROFILE = 400
-SIZES = (1, 2, 3)
 # Profiles are counted on about so many documents of each language, chosen by a hash of the id.
 LEARNED_DOCS = 4_000
 # Tables with one row per language are broadcast up to this many rows.
 BROADCAST_LANGS = 1_000
 
-_LETTERS = regex.compile(r"\p{L}+")
+# An n-gram is one number: up to three code points of 21 bits, the first highest, zeros after a
+# shorter one. So numbers are ordered as the n-grams are as strings.
+_BITS = 21
 
 
-@lru_cache(maxsize=100_000)
-def _grams(word: str) -> tuple[str, ...]:
-    padded = f" {word} "
-    return tuple(
-        padded[i : i + n] for n in SIZES for i in range(len(padded) - n + 1) if padded[i : i + n] != " "
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter(
+        (unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), dtype=bool, count=0x110000
     )
 
 
-def gram_counts(text: str | None) -> Counter:
-    counts: Counter = Counter()
-    for word, times in Counter(_LETTERS.findall((text or "").lower())).items():
-        grams = _grams(word) if len(word) <= 40 else _grams.__wrapped__(word)
-        for gram in grams:
-            counts[gram] += times
-    return counts
+def grams(text: str | None) -> np.ndarray:
+    """All n-grams of the text's words, each word padded with a blank on either side."""
+    codes = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "replace"), dtype="<u4")
+    letter = _letters()[codes]
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]  # of a gap between words the first character stays, as its blank
+    kept[0] = True
+    codes, letter = np.where(letter, codes, 32)[kept].astype(np.int64), letter[kept]
+    if not letter.any():
+        return np.zeros(0, dtype=np.int64)
+    first = codes << 2 * _BITS
+    second = first[:-1] | codes[1:] << _BITS
+    third = second[:-1] | codes[2:]
+    # A blank alone is no n-gram, and none reaches over the blank between two words.
+    return np.concatenate([first[letter], second, third[letter[1:-1]]])
 
 
-def ranked(counts: Counter, most: int = PROFILE) -> list[str]:
+def spelled(gram: int) -> str:
+    codes = (gram >> 2 * _BITS, gram >> _BITS & (1 << _BITS) - 1, gram & (1 << _BITS) - 1)
+    return "".join(chr(c) for c in codes if c)
+
+
+def numbered(gram: str) -> int:
+    return sum(ord(c) << _BITS * (2 - i) for i, c in enumerate(gram))
+
+
+def ranked(text: str | None, most: int = PROFILE) -> np.ndarray:
     """The most frequent n-grams, in order of the n-gram where counts are equal."""
-    if len(counts) > most:
-        floor = int(np.partition(np.fromiter(counts.values(), np.int64, len(counts)), -most)[-most])
-        counts = {g: n for g, n in counts.items() if n >= floor}
-    return sorted(counts, key=lambda g: (-counts[g], g))[:most]
+    found, counts = np.unique(grams(text), return_counts=True)
+    return found[np.argsort(-counts, kind="stable")[:most]]
 
 
 def learned(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -72,12 +87,17 @@ def learned(docs: DataFrame, lang: str = "lang", text: str = "text", key: str =
     chosen = known.join(share, "lang").where(draw < F.col("share")).select("lang", "t")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[str, Counter] = {}
+        totals: dict[str, dict[int, int]] = {}
         for batch in batches:
             for name, text in zip(batch["lang"], batch["t"], strict=True):
-                totals.setdefault(name, Counter()).update(gram_counts(text))
-        for name, counts in totals.items():
-            yield pd.DataFrame({"lang": name, "gram": list(counts), "n": list(counts.values())})
+                found, counts = np.unique(grams(text), return_counts=True)
+                total = totals.setdefault(name, {})
+                for gram, n in zip(found.tolist(), counts.tolist(), strict=True):
+                    total[gram] = total.get(gram, 0) + n
+        for name, total in totals.items():
+            yield pd.DataFrame(
+                {"lang": name, "gram": [spelled(g) for g in total], "n": list(total.values())}
+            )
 
     partial = chosen.mapInPandas(count, "lang string, gram string, n long")
     summed = partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -88,25 +108,24 @@ def learned(docs: DataFrame, lang: str = "lang", text: str = "text", key: str =
 class Profiles:
     def __init__(self, rows: list[tuple[str, str, int]]):
         self.langs = sorted({lang for lang, _, _ in rows})
-        self.index: dict[str, int] = {}
-        for _, gram, _ in rows:
-            self.index.setdefault(gram, len(self.index))
+        self.grams = np.unique(np.array([numbered(gram) for _, gram, _ in rows], dtype=np.int64))
         column = {lang: i for i, lang in enumerate(self.langs)}
         # The last row stands for n-grams that no profile has.
-        self.ranks = np.full((len(self.index) + 1, len(self.langs)), -1, dtype=np.int64)
+        self.ranks = np.full((len(self.grams) + 1, len(self.langs)), -1, dtype=np.int64)
         for lang, gram, rank in rows:
-            self.ranks[self.index[gram], column[lang]] = rank
+            self.ranks[np.searchsorted(self.grams, numbered(gram)), column[lang]] = rank
 
     def nearest(self, text: str | None) -> tuple[str, float]:
-        grams = ranked(gram_counts(text))
-        if not grams or not self.langs:
+        own = ranked(text)
+        if not len(own) or not self.langs:
             return UNKNOWN, 0.0
-        theirs = self.ranks[[self.index.get(gram, -1) for gram in grams]]
-        away = np.abs(theirs - np.arange(len(grams))[:, None])
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        theirs = self.ranks[np.where(self.grams[at] == own, at, -1)]
+        away = np.abs(theirs - np.arange(len(own))[:, None])
         away[theirs < 0] = PROFILE
         distance = away.sum(0)
         best = int(np.argmin(distance))
-        return self.langs[best], 1.0 - float(distance[best]) / (PROFILE * len(grams))
+        return self.langs[best], 1.0 - float(distance[best]) / (PROFILE * len(own))
 
 
 def predicted(docs: DataFrame, profiles: DataFrame, text: str = "text") -> DataFrame:

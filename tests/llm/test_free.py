@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -198,12 +199,25 @@ def test_language_of_held_out_documents(spark):
 def test_out_of_place_distance():
     rows = [("a", g, i) for i, g in enumerate(["x", " x", "y"])] + [("b", g, i) for i, g in enumerate(["y", "x"])]
     profiles = langid.Profiles(rows)
-    grams = langid.ranked(langid.gram_counts("x"))
-    assert grams == [" x", " x ", "x", "x "]
+    assert [langid.spelled(g) for g in langid.ranked("x")] == [" x", " x ", "x", "x "]
     # a: " x" 1 - 0, "x" 0 - 2, two unknown; b: "x" 1 - 2, three unknown.
     assert profiles.nearest("x") == ("a", pytest.approx(1 - (1 + 2 + 2 * langid.PROFILE) / (4 * langid.PROFILE)))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("aAbÉß1 .\n語\u0301\U0001d4d0")), max_size=40))
+def test_ranked_n_grams_follow_the_definition(text):
+    counts = collections.Counter()
+    for word in regex.findall(r"\p{L}+", text.lower()):
+        padded = f" {word} "
+        for n in (1, 2, 3):
+            counts.update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    del counts[" "]
+    expected = sorted(counts, key=lambda g: (-counts[g], g))[: langid.PROFILE]
+    assert [langid.spelled(g) for g in langid.ranked(text)] == expected
+    assert all(langid.spelled(langid.numbered(g)) == g for g in expected)
+
+
 def test_language_of_hard_texts(spark, hard, no_rows):
     profiles = langid.learned(documents(spark))
     rows = langid.predicted(hard, profiles).collect()
@@ -295,3 +309,25 @@ def test_features_of_long_texts_are_those_of_their_parts(monkeypatch):
     whole = toxicity.features(text)
     monkeypatch.setattr(toxicity, "CHUNK", 97)
     assert (toxicity.features(text) == whole).all()
+
+
+@pytest.mark.parametrize("tests, bits", [(0, 24), (3, 24), (12, 64)])
+def test_similar_sets_meet_whatever_the_tests(monkeypatch, tests, bits):
+    """Every link of two blocks is found, by single tests or by comparing with all rows at once."""
+    monkeypatch.setattr(simhash, "TESTS", tests)
+    monkeypatch.setattr(simhash, "SIMILAR_BITS", bits)
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(12):
+        base = rng.choice(2**32, 120, replace=False).astype(np.uint32)
+        for n in rng.integers(0, 30, 9):
+            sets.append(np.unique(np.concatenate([base[n:], rng.choice(2**32, n).astype(np.uint32)])))
+    fps = np.array([simhash.fingerprint_of(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for x in sets]).view(np.uint64)
+    order = rng.permutation(len(sets))
+    fps, sets = fps[order], [sets[k] for k in order]
+    rows = np.arange(len(sets))
+    pairs = [(a, b) for a in rows for b in rows[:a] if simhash._jaccard(sets[a], sets[b]) >= 0.8]
+    groups = simhash.Groups(len(sets))
+    for left, right in ((rows[:50], rows[50:]), (rows[:50],) * 2, (rows[50:],) * 2):
+        simhash.link_similar(fps, sets, 0.8, groups, left, right)
+    assert groups.root.tolist() == roots(len(sets), pairs)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import os
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hindcast.session import cut_lineage
@@ -14,6 +17,18 @@ ROWS_PER_BUCKET = 2_048
 BUCKET_BITS = 16
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this library from where the driver has it.
+
+    On a cluster that doesn't have it there, ship it with spark.submit.pyFiles.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    known = [path for path in environment.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def bind(value: Column, body) -> Column:
     """`body(value)` with `value` computed once per row, whatever the optimizer inlines."""
     return F.transform(F.array(value), body)[0]

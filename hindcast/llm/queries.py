@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hindcast.llm import (
     decontam, langid, mixing, quality, sharding, simhash, tokens, toxicity, urls, warc,
 )
+from hindcast.llm.common import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,6 +29,7 @@ def query(fn):
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 

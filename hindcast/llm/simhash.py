@@ -54,7 +54,7 @@ SIMILAR_BITS = 24
 FEW_SHINGLES = 64
 # A block of a shard holds at most so many rows and shingles (of four bytes), or one row.
 BLOCK_ROWS = 1_024
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 # Single tests of a row before it is compared with all other rows of its cell at once.
 TESTS = 12
 
@@ -307,6 +307,8 @@ def link_similar(fps: np.ndarray, sets: list[np.ndarray], similarity: float, gro
         away = _distance(fps[right], fps[k])
         near = away <= SIMILAR_BITS if sizes[k] >= FEW_SHINGLES else away >= 0
         fits = near & (groups.root[right] != groups.root[k])
+        if left is right:
+            fits &= right > k
         fits &= (sizes[right] >= similarity * sizes[k]) & (sizes[right] * similarity <= sizes[k])
         others = right[fits][np.argsort(away[fits], kind="stable")]
         for other in others[:TESTS]:
@@ -359,11 +361,16 @@ def similar_groups(
         sets.select("k", "keys", "size").join(firsts, "k", "left_semi")
         .select("k", "size", F.explode("keys").alias("shard")).distinct()
     )
-    counts = (
+    members = (
         shards.groupBy("shard")
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("shingles"))
+        .agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("size").alias("shingles"), F.min("k").alias("low"),
+            F.max("k").alias("high"), F.bit_xor(F.xxhash64("k")).alias("mark"),
+        )
         .where("rows > 1")
     )
+    # Similar rows share most of their keys: of shards with the same members one is compared.
+    counts = members.groupBy("rows", "shingles", "low", "high", "mark").agg(F.min("shard").alias("shard"))
     blocks = F.greatest(
         F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)
     ).cast("int")
@@ -378,8 +385,10 @@ def similar_groups(
         fps = cell["fp"].to_numpy().astype(np.int64).view(np.uint64)
         lists = [np.frombuffer(p, dtype="<u4") for p in cell["packed"]]
         groups = Groups(len(ks))
-        low, high = cell["own"].to_numpy() == cell["i"].to_numpy(), cell["own"].to_numpy() == cell["j"].to_numpy()
-        link_similar(fps, lists, similarity, groups, np.flatnonzero(low), np.flatnonzero(high))
+        own, i, j = (cell[name].to_numpy() for name in ("own", "i", "j"))
+        left = np.flatnonzero(own == i)
+        right = left if i[0] == j[0] else np.flatnonzero(own == j)
+        link_similar(fps, lists, similarity, groups, left, right)
         found = groups.root != np.arange(len(ks))
         return pd.DataFrame({"a": ks[found], "b": ks[groups.root[found]]})
 

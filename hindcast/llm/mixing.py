@@ -85,7 +85,8 @@ def mixed(
     """`docs` with target_parts, cycle_parts, block, release, deadline, position and mixed.
 
     position is the slot of the row's block; mixed is true below the first slot whose source has run
-    out, up to which every prefix keeps the target weights. Later rows stay in the result, unmixed.
+    out, up to which every prefix keeps the target weights. Later rows stay in the result, unmixed;
+    ordered by position they go on with the weights of the sources that are left.
     One exchange of `docs`; the counts of sources are a few small aggregates.
     """
     group = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))

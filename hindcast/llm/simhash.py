@@ -13,7 +13,7 @@ radius) is cut into blocks, and every two blocks are compared in a task of their
 Search for word-shingle similarity (`similar_groups`). At a Jaccard similarity of 0.8, 64-bit
 fingerprints differ in 10 bits on average and up to 20, where triangle bounds prune nothing. There
 shards come from the smallest shingle hashes, which similar sets share (see SKETCH_KEYS). Inside a
-shard fingerprints are compared, close ones first, and each link is confirmed on the whole sets.
+shard rows of close fingerprints are compared first, and whole sets decide on every pair.
 
 Texts without words have fingerprint zero and no shingle; NULL counts as empty. Repeated rows share
 a fingerprint and so a group. NULL ids never are the smallest id; a group of only NULL ids has
@@ -48,10 +48,9 @@ SIMILAR_WORDS = 5
 # Two sets of similarity s share none of their k smallest hashes with a chance of about (1 - s)^k:
 # one in 15,000 at 0.8 and k = 6.
 SKETCH_KEYS = 6
-# Fingerprints of sets of similarity 0.8 differ in 9.7 bits, standard deviation 2.9; beyond 24 (five
-# deviations) sets are not compared. Small sets, whose votes are close, are compared in any case.
+# Fingerprints of sets of similarity 0.8 differ in 9.7 bits, standard deviation 2.9. Up to 24 bits (five
+# deviations) rows are tested one by one; the others are counted all at once.
 SIMILAR_BITS = 24
-FEW_SHINGLES = 64
 # A block of a shard holds at most so many rows and shingles (of four bytes), or one row.
 BLOCK_ROWS = 1_024
 BLOCK_SHINGLES = 1_000_000
@@ -290,8 +289,10 @@ class Overlaps:
 
     def with_row(self, k: int) -> np.ndarray:
         own = self.at[self.starts[k] : self.starts[k + 1]]
-        parts = [self.owners[self.bounds[x] : self.bounds[x + 1]] for x in own]
-        return np.bincount(np.concatenate(parts), minlength=self.rows)
+        counts = self.bounds[own + 1] - self.bounds[own]
+        ends = np.cumsum(counts)
+        spots = np.arange(ends[-1]) + np.repeat(self.bounds[own] - ends + counts, counts)
+        return np.bincount(self.owners[spots], minlength=self.rows)
 
 
 def link_similar(fps: np.ndarray, sets: list[np.ndarray], similarity: float, groups: Groups,
@@ -299,22 +300,26 @@ def link_similar(fps: np.ndarray, sets: list[np.ndarray], similarity: float, gro
     """Unites rows of similar sets, of which one is in `left` and one in `right`.
 
     Close fingerprints are tried first, and rows that are together already are not tried again, so
-    tests stay few in a dense group. A row with many candidates left is compared with all at once.
+    tests stay few in a dense group. All rows that are left, near or far, are compared at once:
+    fingerprints only order the tests.
     """
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
     overlaps = None
     for k in left:
-        away = _distance(fps[right], fps[k])
-        near = away <= SIMILAR_BITS if sizes[k] >= FEW_SHINGLES else away >= 0
-        fits = near & (groups.root[right] != groups.root[k])
+        fits = groups.root[right] != groups.root[k]
         if left is right:
             fits &= right > k
         fits &= (sizes[right] >= similarity * sizes[k]) & (sizes[right] * similarity <= sizes[k])
-        others = right[fits][np.argsort(away[fits], kind="stable")]
-        for other in others[:TESTS]:
+        others = right[fits]
+        if not len(others):
+            continue
+        away = _distance(fps[others], fps[k])
+        others = others[np.argsort(away, kind="stable")]
+        singly = min(TESTS, len(others) if len(others) <= 2 else int((away <= SIMILAR_BITS).sum()))
+        for other in others[:singly]:
             if groups.root[other] != groups.root[k] and _jaccard(sets[k], sets[other]) >= similarity:
                 groups.unite(np.array([k]), np.array([other]))
-        others = others[TESTS:]
+        others = others[singly:]
         others = others[groups.root[others] != groups.root[k]]
         if len(others):
             overlaps = overlaps or Overlaps(sets)
@@ -346,7 +351,7 @@ def similar_groups(
                     packed = members.tobytes()
                     whole_set = xxhash.xxh64_intdigest(packed, SEED) - 2**63
                     keys = mixed[:SKETCH_KEYS].astype(np.int64).tolist()
-                    out.append((own, whole_set, fingerprint_of(hashes), keys, len(members), packed))
+                    out.append((own, whole_set, fingerprint_of(np.unique(hashes)), keys, len(members), packed))
             yield pd.DataFrame(out, columns=["k", "whole", "fp", "keys", "size", "packed"])
 
     narrow = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))

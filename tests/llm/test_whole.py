@@ -1,10 +1,15 @@
-"""Nothing is left out when a source runs out."""
+"""Nothing is left out: exhausted sources, repeated phrases, benchmark items of any form."""
 
 from __future__ import annotations
 
 import collections
+import random
 
 import corpus_pipeline as pipeline
+from hindcast.llm import simhash
+
+from brute import roots, shingles
+
 
 def test_mixing_stage_keeps_every_row_in_the_order_of_the_weights(spark):
     sizes = {**{f"s{k}": 800 for k in range(5)}, "big": 4_000, "tiny": 1, None: 1}
@@ -20,3 +25,19 @@ def test_mixing_stage_keeps_every_row_in_the_order_of_the_weights(spark):
             going = {s: w for s, w in weight.items() if sizes[s] > 1}
             for s, w in going.items():
                 assert abs(taken[s] - w / sum(going.values()) * k) < 4 * len(sizes) + 0.01 * k
+
+
+def test_similar_texts_are_found_whatever_phrase_they_repeat(spark):
+    random.seed(11)
+    texts = []
+    for k in range(12):
+        common = " ".join(f"w{random.randrange(10**6)}" for _ in range(1_000))
+        for own in range(2):
+            phrase = " ".join(f"p{random.randrange(10**6)}" for _ in range(5))
+            texts.append(f"{common} " + f"{phrase} " * (40 if k % 2 or own else 1))
+    frame = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    found = {r.k: r.group for r in simhash.similar_groups(frame, "k").collect()}
+    sets = [set(shingles(t, 5)) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) == 12
+    assert [found.get(k, k) for k in range(len(texts))] == roots(len(texts), pairs)

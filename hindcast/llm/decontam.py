@@ -4,7 +4,8 @@ Tokens are numbers and words. A token becomes a slot if it is a number, a unit a
 name (a capitalised word in the middle of a sentence); any other is taken in lower case. Windows of
 WINDOW such tokens are matched by hash, so an item whose numbers or names were exchanged still
 matches. The exchange must be consistent: within one occurrence an item's value always becomes the
-same value in the document, or the occurrence doesn't count.
+same value in the document, or the occurrence doesn't count. A window of mostly slots says nothing as
+a template and is matched with its values as they are.
 
 NULL or short texts have no window and match nothing, as do items of fewer than MIN_TOKENS tokens.
 Items between MIN_TOKENS and WINDOW tokens are one window of their own length. Repeated items are
@@ -13,7 +14,7 @@ reported each; repeated documents (same id) once. Extra columns are not looked a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.llm.common import bind
@@ -60,7 +61,10 @@ def _typed(raw: Column) -> Column:
 
 
 def _windows(text: Column, lengths: list[int]) -> Column:
-    """array<struct<pos, h, slots>>; slots holds the raw values of the slots in order, or NULL."""
+    """array<struct<pos, h, slots>>; slots holds the raw values of the slots in order, or NULL.
+
+    A window with slots is there twice: as a template, and without slots by its own tokens.
+    """
 
     def cut(raw: Column, typed: Column, size: int, slotted: bool) -> Column:
         def window(i: Column) -> Column:
@@ -77,8 +81,22 @@ def _windows(text: Column, lengths: list[int]) -> Column:
                 (i - 1).alias("pos"), F.xxhash64(F.lit(size), part).alias("h"), slots.alias("slots")
             )
 
+        def has_slots(i: Column) -> Column:
+            return F.exists(F.slice(typed, i, size), lambda token: token.startswith("<"))
+
+        def verbatim(i: Column) -> Column:
+            own = F.transform(F.slice(raw, i, size), lambda token: F.translate(token, MARK, ""))
+            return F.struct(
+                (i - 1).alias("pos"), F.xxhash64(F.lit(size), own).alias("h"),
+                F.lit(None).cast("array<string>").alias("slots"),
+            )
+
         last = F.size(typed) - size + 1
-        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), window)).otherwise(
+        starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+        found = F.transform(starts, window)
+        if slotted:
+            found = F.concat(found, F.transform(F.filter(starts, has_slots), verbatim))
+        return F.when(last > 0, found).otherwise(
             F.array().cast("array<struct<pos:int,h:bigint,slots:array<string>>>")
         )
 
@@ -96,7 +114,8 @@ def _windows(text: Column, lengths: list[int]) -> Column:
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, i_pos, h, i_slots, n_windows, size) of every item that has enough tokens."""
+    """(item_id, i_pos, h, i_slots, templated, n_windows, n_templates, size) of every item that has
+    enough tokens; n_templates of its n_windows are templated."""
     sized = items.select(F.col(key).alias("item_id"), F.col(text).alias("t")).withColumn(
         "size", F.least(F.lit(WINDOW), F.size(_tokens(F.col("t"))))
     )
@@ -109,12 +128,23 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.union(part)
-    # A window of slots alone says nothing: most of it must be literal.
-    literal = F.col("size") - F.coalesce(F.size("w.slots"), F.lit(0)) >= F.col("size") / 2 + 0.5
-    rows = rows.where(F.coalesce(F.col("w.slots").isNull(), F.lit(True)) | literal)
-    counted = rows.groupBy("item_id").agg(F.count_distinct("w.pos").alias("n_windows"))
-    return rows.join(counted.withColumnRenamed("item_id", "_i"), F.col("item_id").eqNullSafe(F.col("_i"))).select(
-        "item_id", F.col("w.pos").alias("i_pos"), "w.h", F.col("w.slots").alias("i_slots"), "n_windows", "size"
+    # A window of slots alone says nothing: most of it must be literal, or its values must be equal.
+    slots = F.max(F.coalesce(F.size("w.slots"), F.lit(0))).over(Window.partitionBy("item_id", "w.pos"))
+    rows = rows.withColumn("_slots", slots).withColumn(
+        "templated", F.col("size") - F.col("_slots") >= F.col("size") / 2 + 0.5
+    )
+    rows = rows.where(
+        F.when(F.col("w.slots").isNotNull(), F.col("templated")).otherwise(
+            (F.col("_slots") == 0) | ~F.col("templated")
+        )
+    )
+    counted = rows.groupBy(F.col("item_id").alias("_i")).agg(
+        F.count_distinct("w.pos").alias("n_windows"),
+        F.count_distinct(F.when(F.col("templated"), F.col("w.pos"))).alias("n_templates"),
+    )
+    return rows.join(counted, F.col("item_id").eqNullSafe(F.col("_i"))).select(
+        "item_id", F.col("w.pos").alias("i_pos"), "w.h", F.col("w.slots").alias("i_slots"), "templated",
+        "n_windows", "n_templates", "size",
     )
 
 
@@ -124,8 +154,9 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, matched_windows, item_windows, coverage, changed_slots) of leaked items.
 
-    An item leaks into a document if the document has at least `min_coverage` of its windows in
-    consistent occurrences; an occurrence is a run with one offset between the two texts.
+    An item leaks into a document if the document has at least `min_coverage` of its windows, or of
+    its templates, in consistent occurrences; an occurrence is a run with one offset between the two
+    texts. coverage is the larger share of the two.
     """
     wanted = item_windows(items)
     shape = wanted.groupBy("size").count().collect()  # at most WINDOW rows
@@ -136,23 +167,32 @@ def leaks(
         F.col(key).alias("doc_id"), F.explode(_windows(F.col(text), lengths)).alias("w")
     ).select("doc_id", "w.pos", "w.h", "w.slots")
     hits = found.join(wanted, "h").select(
-        "doc_id", "item_id", "i_pos", "n_windows", (F.col("pos") - F.col("i_pos")).alias("offset"),
+        "doc_id", "item_id", "n_windows", "n_templates", (F.col("pos") - F.col("i_pos")).alias("offset"),
+        F.struct("i_pos", "templated").alias("window"),
         F.arrays_zip(F.col("i_slots").alias("i"), F.col("slots").alias("d")).alias("pairs"),
     )
-    runs = hits.groupBy("doc_id", "item_id", "n_windows", "offset").agg(
-        F.collect_set("i_pos").alias("at"),
+    runs = hits.groupBy("doc_id", "item_id", "n_windows", "n_templates", "offset").agg(
+        F.collect_set("window").alias("at"),
         F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
     )
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
     changed = F.size(F.filter("pairs", lambda p: p["i"] != p["d"]))
     return (
         runs.where(consistent)
-        .groupBy("doc_id", "item_id", "n_windows")
+        .groupBy("doc_id", "item_id", "n_windows", "n_templates")
         .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched_windows"),
+            F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),
             F.min(changed).cast("long").alias("changed_slots"),
         )
-        .withColumn("coverage", F.col("matched_windows") / F.col("n_windows"))
+        .withColumn("matched_windows", F.size("at").cast("long"))
+        .withColumn(
+            "coverage",
+            F.greatest(
+                F.col("matched_windows") / F.col("n_windows"),
+                F.size(F.filter("at", lambda w: w["templated"]))
+                / F.when(F.col("n_templates") > 0, F.col("n_templates")),
+            ),
+        )
         .where(F.col("coverage") >= min_coverage)
         .select(
             "doc_id", "item_id", "matched_windows", F.col("n_windows").alias("item_windows"),

@@ -6,7 +6,7 @@ import collections
 import random
 
 import corpus_pipeline as pipeline
-from hindcast.llm import simhash
+from hindcast.llm import decontam, simhash
 
 from brute import roots, shingles
 
@@ -41,3 +41,24 @@ def test_similar_texts_are_found_whatever_phrase_they_repeat(spark):
     pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(pairs) == 12
     assert [found.get(k, k) for k in range(len(texts))] == roots(len(texts), pairs)
+
+
+def leaks(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()}
+
+
+NOISE = "some other words that stand before it and say nothing at all, "
+TRAIN = "A train leaves Boston at 40 km per hour and reaches Denver after 7 hours of travel on the old line"
+
+
+def test_items_of_mostly_slots_are_found_as_they_are(spark):
+    items = [
+        "What is 12 + 45 - 7 * 3 / 9 + 16",
+        "The Old Man And The Sea Was Written By Ernest Hemingway In Cuba",
+        "Compute 12 45 7 3 9 16 8 4 11 2 then write the sum of them down",
+    ]
+    texts = [NOISE + x + ", and so on" for x in items]
+    texts += [NOISE + "What is 1 + 4 - 8 * 2 / 5 + 6", NOISE + items[2].replace("16", "17").replace("11", "31")]
+    assert leaks(spark, texts, items) == {(0, 0), (1, 1), (2, 2), (4, 2)}

@@ -5,7 +5,8 @@ name (a capitalised word in the middle of a sentence); any other is taken in low
 WINDOW such tokens are matched by hash, so an item whose numbers or names were exchanged still
 matches. The exchange must be consistent: within one occurrence an item's value always becomes the
 same value in the document, or the occurrence doesn't count. A window of mostly slots says nothing as
-a template and is matched with its values as they are.
+a template and is matched with its values as they are. Any window also matches by its own tokens in
+lower case, whatever was taken for a name, so verbatim copies are found in any case and layout.
 
 NULL or short texts have no window and match nothing, as do items of fewer than MIN_TOKENS tokens.
 Items between MIN_TOKENS and WINDOW tokens are one window of their own length. Repeated items are
@@ -133,11 +134,7 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
     rows = rows.withColumn("_slots", slots).withColumn(
         "templated", F.col("size") - F.col("_slots") >= F.col("size") / 2 + 0.5
     )
-    rows = rows.where(
-        F.when(F.col("w.slots").isNotNull(), F.col("templated")).otherwise(
-            (F.col("_slots") == 0) | ~F.col("templated")
-        )
-    )
+    rows = rows.where(F.col("w.slots").isNull() | F.col("templated"))
     counted = rows.groupBy(F.col("item_id").alias("_i")).agg(
         F.count_distinct("w.pos").alias("n_windows"),
         F.count_distinct(F.when(F.col("templated"), F.col("w.pos"))).alias("n_templates"),

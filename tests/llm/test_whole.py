@@ -62,3 +62,10 @@ def test_items_of_mostly_slots_are_found_as_they_are(spark):
     texts = [NOISE + x + ", and so on" for x in items]
     texts += [NOISE + "What is 1 + 4 - 8 * 2 / 5 + 6", NOISE + items[2].replace("16", "17").replace("11", "31")]
     assert leaks(spark, texts, items) == {(0, 0), (1, 1), (2, 2), (4, 2)}
+
+
+def test_verbatim_items_are_found_in_any_case_and_layout(spark):
+    items = [TRAIN, "What is the capital of Peru"]
+    texts = [NOISE + form(x) + " and so on" for x in items for form in (str.lower, str.upper, lambda x: x.replace(" ", "\n"))]
+    texts += ["They asked What is the capital of Peru then"]
+    assert leaks(spark, texts, items) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 1)}

@@ -4,7 +4,7 @@ Tokens are numbers and words. A token becomes a slot if it is a number, a unit a
 name (a capitalised word in the middle of a sentence); any other is taken in lower case. Windows of
 WINDOW such tokens are matched by hash, so an item whose numbers or names were exchanged still
 matches. The exchange must be consistent: within one occurrence an item's value always becomes the
-same value in the document, or the occurrence doesn't count. A window of mostly slots says nothing as
+same other value in the document (or stays), or only its windows of equal values count. A window of mostly slots says nothing as
 a template and is matched with its values as they are. Any window also matches by its own tokens in
 lower case, whatever was taken for a name, so verbatim copies are found in any case and layout.
 
@@ -153,7 +153,8 @@ def leaks(
 
     An item leaks into a document if the document has at least `min_coverage` of its windows, or of
     its templates, in consistent occurrences; an occurrence is a run with one offset between the two
-    texts. coverage is the larger share of the two.
+    texts. coverage is the larger share of the two. Of an inconsistent occurrence the windows with
+    equal values count.
     """
     wanted = item_windows(items)
     shape = wanted.groupBy("size").count().collect()  # at most WINDOW rows
@@ -166,20 +167,26 @@ def leaks(
     hits = found.join(wanted, "h").select(
         "doc_id", "item_id", "n_windows", "n_templates", (F.col("pos") - F.col("i_pos")).alias("offset"),
         F.struct("i_pos", "templated").alias("window"),
-        F.arrays_zip(F.col("i_slots").alias("i"), F.col("slots").alias("d")).alias("pairs"),
+        F.filter(
+            F.arrays_zip(F.col("i_slots").alias("i"), F.col("slots").alias("d")), lambda p: p["i"] != p["d"]
+        ).alias("pairs"),
     )
+    # Equal windows meet by their own tokens, without slots.
+    equal = F.size(F.coalesce("pairs", F.array())) == 0
     runs = hits.groupBy("doc_id", "item_id", "n_windows", "n_templates", "offset").agg(
         F.collect_set("window").alias("at"),
+        F.collect_set(F.when(equal, F.col("window"))).alias("equal"),
         F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
     )
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
-    changed = F.size(F.filter("pairs", lambda p: p["i"] != p["d"]))
     return (
-        runs.where(consistent)
+        runs.withColumn("changed", F.when(consistent, F.size("pairs")).otherwise(0))
+        .withColumn("at", F.when(consistent, F.col("at")).otherwise(F.col("equal")))
+        .where(F.size("at") > 0)
         .groupBy("doc_id", "item_id", "n_windows", "n_templates")
         .agg(
             F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),
-            F.min(changed).cast("long").alias("changed_slots"),
+            F.min("changed").cast("long").alias("changed_slots"),
         )
         .withColumn("matched_windows", F.size("at").cast("long"))
         .withColumn(

@@ -69,3 +69,10 @@ def test_verbatim_items_are_found_in_any_case_and_layout(spark):
     texts = [NOISE + form(x) + " and so on" for x in items for form in (str.lower, str.upper, lambda x: x.replace(" ", "\n"))]
     texts += ["They asked What is the capital of Peru then"]
     assert leaks(spark, texts, items) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 1)}
+
+
+def test_one_changed_slot_does_not_hide_a_copy(spark):
+    items = ["Alice gave Bob 12 apples and later Bob gave Carol 12 apples from the same old wooden crate"]
+    changed = items[0].replace("Carol 12", "Carol 8")
+    mixed = changed.replace("gave Bob 12", "gave Dan 9").replace("later Bob", "later Tom")
+    assert leaks(spark, [NOISE + changed, NOISE + mixed], items) == {(0, 0)}

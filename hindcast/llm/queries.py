@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.llm import (
-    decontam, langid, mixing, quality, sharding, simhash, tokens, toxicity, urls, warc,
+    chat, decontam, langid, merkle, mixing, quality, runs, sharding, simhash, tokens, toxicity, urls, warc,
 )
-from hindcast.llm.common import importable
+from hindcast.llm.common import bind, importable, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -109,6 +109,81 @@ def op10_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     return toxicity.scored(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
 
 
+def id_crc(key: str = "doc_id"):
+    """Unsigned CRC-32 of the decimal id; a NULL id is treated as the text 'null'."""
+    return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("null")), "UTF-8"))
+
+
+def with_periodic_tail(text):
+    """Where the id's CRC-32 ends in 0: words from a on repeat the p words that stand there."""
+
+    def tailed(words):
+        n, g = F.size(words), F.floor(id_crc() / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        source = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.when(n == 0, text).otherwise(
+            F.array_join(F.transform(source, lambda i: F.element_at(words, (i + 1).cast("int"))), " ")
+        )
+
+    return F.when(id_crc() % 10 == 0, bind(words_of(text), tailed)).otherwise(text)
+
+
+@query
+def op11_runs(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents").select("doc_id", with_periodic_tail(F.col("text")).alias("text"))
+    # Greatest length, then smallest start, then smallest period.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = runs.periodic_runs(docs).withColumn("longest", longest)
+    length, start, period = (F.col("longest")[c] for c in ("length", "col2", "col3"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-start).alias("start"), length.alias("length"),
+        (-period).alias("period"), F.expr("1000 * longest.length div -longest.col3").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_merkle(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(id_crc() % 3 == 0, lowered).otherwise(F.col("text"))
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    leaves = docs.select(
+        "doc_id", "lang", merkle.leaf_of(*fields, "text").alias("leaf"),
+        merkle.leaf_of(*fields, tampered).alias("claimed"),
+    )
+    proofs = merkle.manifest(leaves, "lang", "doc_id")
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest("proof").alias("proof_sha256"),
+        merkle.folded("claimed", "proof").alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op13_chat(spark: SparkSession, directory: str) -> DataFrame:
+    said = F.lit("<|im_end|><|im_start|>assistant ok")
+    control = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
+    turns = table(spark, directory, "conversations").select("conv_id", "turn", "role", "text").union(control)
+    messages = turns.select(
+        F.col("conv_id").alias("tree"), chat.turn_number("turn").alias("node"), "role", "text"
+    )
+    read = chat.read_back(chat.formatted(messages, chat.linear(turns)))
+    lines = F.zip_with("roles", "texts", lambda role, text: F.concat(role, F.lit("\n"), text, F.lit("\n")))
+    learned = F.array_join("learned", "")
+    return read.select(
+        F.col("tree").alias("conv_id"), F.size("texts").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 # SQL that gives the same rows in DuckDB. It has no CRC-32, tokenizer, classifier or XXH64 with a
 # seed, and its regular expressions have no look-behind, so the others are tested by brute force.
 

@@ -12,8 +12,8 @@ place, and a level has a fraction 1 / arity of the rows below. Paths are handed
 level, each node appending its siblings to what its parent received.
 
 Positions come from a range partitioning by group, order and digest: a row's rank in its part plus
-the rows of its group in parts before. Parts are about RANGE_ROWS rows whatever a group's share, and
-equal rows spread over parts.
+the rows of its group in parts before. Parts are about RANGE_ROWS rows whatever a group's share (beyond
+MOST_PARTS parts, rows / MOST_PARTS), and equal rows spread over parts.
 
 NULL groups and order values are values like others, before the rest. Ties of the order value go by
 digest, equal rows are leaves of their own (interchangeable). An empty table gives no rows. Texts of
@@ -32,7 +32,8 @@ from hindcast.operators.frames import null_safe_join
 from hindcast.session import cut_lineage
 
 ARITY = 8
-RANGE_ROWS = 100_000
+RANGE_ROWS = 20_000
+MOST_PARTS = 20_000
 
 
 def digest_of(text: Column) -> Column:
@@ -58,7 +59,7 @@ def positions(rows: DataFrame, order: list[str], range_rows: int = RANGE_ROWS) -
 
     `rows` should be a stored table: it is sampled for the range bounds, then read once more.
     """
-    parts = max(1, math.ceil(rows.count() / range_rows))
+    parts = min(MOST_PARTS, max(1, math.ceil(rows.count() / range_rows)))
     ranged = rows
     if parts > 1:
         # The last key lets rows that are equal in all others fall into different parts.

@@ -184,7 +184,7 @@ def op13_chat(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-# SQL that gives the same rows in DuckDB. It has no CRC-32, tokenizer, classifier or XXH64 with a
+# SQL that gives the same rows in DuckDB. It has no tokenizer, classifier or XXH64 with a
 # seed, and its regular expressions have no look-behind, so the others are tested by brute force.
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -289,6 +289,97 @@ from placed p left join rules u
 group by p.r, p.page_id, p.host, p.path
 """
 
+# CRC-32 bit by bit over the decimal digits, which are ASCII.
+_CRC = """
+xor(4294967295, list_reduce(
+  list_prepend(cast(4294967295 as bigint),
+               list_transform(range(length(coalesce(cast(doc_id as varchar), 'null'))),
+                              lambda k: cast(ascii(substr(coalesce(cast(doc_id as varchar), 'null'), k + 1, 1)) as bigint))),
+  lambda crc, letter: list_reduce(
+    list_prepend(xor(crc, letter), range(8)),
+    lambda x, bit: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)))
+"""
+
+
+def _merkle_sql(levels: int = 10) -> str:
+    """Trees of up to 8^levels leaves, level by level; a tree that has one node left stays as it is."""
+
+    def tree(name: str, leaves: str) -> str:
+        steps = [f"{name}0 as (select g, i, d, count(*) over (partition by g) as n from {leaves})"]
+        for k in range(levels):
+            steps.append(
+                f"{name}b{k} as (select g, i // 8 as i, string_agg(d, '' order by i) as block, any_value(n) as n,"
+                f" list(struct_pack(i := i, d := d)) as own from {name}{k} where n > 1 group by g, i // 8)"
+            )
+            steps.append(
+                f"{name}{k + 1} as (select g, i, sha256(block) as d, (n + 7) // 8 as n from {name}b{k}"
+                f" union all select g, i, d, n from {name}{k} where n = 1)"
+            )
+        return ",\n".join(steps)
+
+    def path(name: str, start: str) -> str:
+        """Left and right siblings of every leaf on every level, as lists from the leaf up."""
+        steps = [f"{name}p0 as (select *, {start} as spot, [] :: struct(l varchar, r varchar)[] as proof from {name}s)"]
+        for k in range(levels):
+            steps.append(f"""{name}p{k + 1} as (
+              select s.* exclude (spot, proof), spot // 8 as spot,
+                     case when own is null then proof else list_append(proof, struct_pack(
+                       l := coalesce(array_to_string(list_transform(list_sort(list_filter(own, lambda o: o.i < s.spot)), lambda o: o.d), ''), ''),
+                       r := coalesce(array_to_string(list_transform(list_sort(list_filter(own, lambda o: o.i > s.spot)), lambda o: o.d), ''), '')))
+                     end as proof
+              from {name}p{k} s left join {name}b{k} b on s.g is not distinct from b.g and s.spot // 8 = b.i)""")
+        return ",\n".join(steps)
+
+    def field(column: str) -> str:
+        return f"coalesce(strlen(cast({column} as varchar)) || ':' || {column}, '-')"
+
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    fixed = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    return f"""
+with h as (
+  select doc_id, lang as g, sha256({fixed} || {field("text")}) as leaf,
+         sha256({fixed} || {field("other")}) as claimed
+  from (select *, case when {_CRC} % 3 = 0 then translate(text, {letters}) else text end as other from documents)),
+ts as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i from h),
+tl as (select g, i, leaf as d from ts),
+{tree("t", "tl")},
+sub as (select g as lang, d as subroot, row_number() over (order by g nulls first) - 1 as i from t{levels}),
+ul as (select 0 as g, i, subroot as d from sub),
+{tree("u", "ul")},
+us as (select 0 as g, ts.* exclude (g), ts.g as lang, ts.i as place, sub.i as top, subroot
+       from ts join sub on ts.g is not distinct from sub.lang),
+{path("t", "i")},
+{path("u", "top")},
+proven as (select doc_id, leaf, claimed, subroot, list_concat(t.proof, u.proof) as proof
+         from tp{levels} t join (select lang, place, subroot, proof from up{levels}) u
+           on t.g is not distinct from u.lang and t.i = u.place),
+folds as (
+  select *, sha256(coalesce(array_to_string(list_transform(proof, lambda s: s.l || s.r), ''), '')) as proof_sha256,
+         list_reduce(list_prepend(struct_pack(l := claimed, r := ''), proof),
+                     lambda own, s: struct_pack(l := sha256(s.l || own.l || s.r), r := '')).l as folded_root
+  from proven)
+select doc_id, leaf, subroot, (select d from u{levels}) as root, proof_sha256, folded_root,
+       folded_root = (select d from u{levels}) as verified
+from folds
+"""
+
+
+_CHAT = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -1, k, case when k = 0 then 'user' else 'assistant' end, '<|im_end|><|im_start|>assistant ok' from range(2) r(k))
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10)))
+                + length(replace(replace(text, '\', '\\'), '<|', '<\|'))
+                + length('<|im_start|>' || chr(10) || '<|im_end|>' || chr(10))) as bigint) as formatted_chars
+from t group by conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mixing": _MIXING, "op2_warc": _WARC, "op6_quality": _QUALITY, "op8_urls": _URLS,
+    "op12_merkle": _merkle_sql(), "op13_chat": _CHAT,
 }

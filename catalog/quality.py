@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog import views
 from catalog.oracle import OPEN, day, ts, with_parts
-from catalog.registry import query
+from catalog.registry import ORACLES, query
 from catalog.vendor import companyfacts_payloads
 from catalog.views import Tables
 from hindcast import config
@@ -261,13 +261,24 @@ _OUTLIERS = {
     )
 )
 def check_return_outliers(t: Tables) -> DataFrame:
-    detail = checks.return_outlier_detail(views.price_facts(t), views.entity(t))
+    return _outliers(checks.return_outlier_detail(views.price_facts(t), views.entity(t)))
+
+
+def _outliers(detail: DataFrame) -> DataFrame:
     return detail.select(
         "entity_id", "trade_date", "daily_return", F.round("z_score", 4).alias("z_score"),
         "status", "dimension_key",
     )
 
 
+@query(ORACLES["check_return_outliers"])
+def return_outliers_hot(t: Tables) -> DataFrame:
+    """The same scores, with every longer series cut into chunks as a hot one is."""
+    return _outliers(
+        checks.return_outlier_detail(cut_lineage(views.price_facts(t)), views.entity(t), hot_key_rows=40)
+    )
+
+
 _FRESH = {
     "fresh0": """
       select *, lag(content_sha256) over w as previous_hash, lag(fetched_at) over w as previous_fetched_at

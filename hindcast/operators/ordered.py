@@ -95,6 +95,12 @@ class Scan:
         )
 
 
+    def back(self, df: DataFrame, block: str, place: str, rows: int, column: str) -> DataFrame:
+        """`column` replaced by its value `rows` rows before; `block` and `place` number the rows."""
+        window = Window.partitionBy(*self.keys).orderBy(block, place)
+        return df.withColumn(column, F.lag(column, rows).over(window))
+
+
 class ChunkedScan(Scan):
     """Applies steps chunk by chunk and carries a summary row over each chunk border."""
 
@@ -169,6 +175,60 @@ class ChunkedScan(Scan):
         )
 
 
+    def back(self, df: DataFrame, block: str, place: str, rows: int, column: str) -> DataFrame:
+        """The row before lies at the same place of the block before: an equi-join, no ordering."""
+        stored = cut_lineage(df)
+        earlier = stored.select(*self.keys, (F.col(block) + 1).alias(block), place, column)
+        return null_safe_join(stored.drop(column), earlier, [*self.keys, block, place], "left")
+
+
+def trailing_moments(df: DataFrame, scan: Scan, value: str, rows: int, prefix: str = "trailing") -> DataFrame:
+    """`df` with count, mean and m2 (sum of squared deviations) of `value` over the `rows` rows before.
+
+    A key's rows are cut into blocks of `rows`. The frame of the row at place p of a block is the end of
+    the block before from place p on, and the block's own rows before p. Both parts are running
+    aggregates, one in order and one against it, and moments of parts can be merged. So a row costs a
+    few operations whatever the frame's length, groups have `rows` rows whatever a key's share, and no
+    difference of large sums is taken, which would cancel.
+
+    NULL values fill a place in the frame but don't count. Rows are in the scan's order.
+    """
+    block, place, ending = "__block", "__place", "__ending"
+    numbered = scan(df, __number=running_sum(F.lit(1).cast("bigint"))).withColumns(
+        {block: F.expr(f"(__number - 1) div {int(rows)}"), place: F.expr(f"(__number - 1) % {int(rows)}")}
+    ).drop("__number")
+
+    def moments(window) -> Column:
+        count = F.count(value).over(window)
+        return F.struct(
+            count.alias("n"),
+            F.coalesce(F.avg(value).over(window), F.lit(0.0)).alias("mean"),
+            F.coalesce(F.var_pop(value).over(window) * count, F.lit(0.0)).alias("m2"),
+        )
+
+    inside = Window.partitionBy(*scan.keys, block)
+    upto_end = inside.orderBy(F.col(place).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = inside.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    shifted = scan.back(numbered.withColumn(ending, moments(upto_end)), block, place, rows, ending)
+    both = shifted.withColumn("__own", moments(before))
+    n, own_n = F.coalesce(F.col(f"{ending}.n"), F.lit(0)), F.col("__own.n")
+    total = n + own_n
+    apart = F.col("__own.mean") - F.col(f"{ending}.mean")
+    mean = F.when(n == 0, F.col("__own.mean")).when(own_n == 0, F.col(f"{ending}.mean")).otherwise(
+        F.col(f"{ending}.mean") + apart * own_n / total
+    )
+    m2 = F.when(n == 0, F.col("__own.m2")).when(own_n == 0, F.col(f"{ending}.m2")).otherwise(
+        F.col(f"{ending}.m2") + F.col("__own.m2") + apart * apart * n * own_n / total
+    )
+    return both.withColumns(
+        {
+            f"{prefix}_count": total,
+            f"{prefix}_mean": F.when(total > 0, mean),
+            f"{prefix}_m2": F.when(total > 0, m2),
+        }
+    ).drop(block, place, ending, "__own")
+
+
 Body = Callable[[DataFrame, Scan], DataFrame]
 Reduce = Callable[[DataFrame], DataFrame]
 

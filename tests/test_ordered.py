@@ -7,7 +7,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from hindcast.operators.ordered import (
-    ChunkedScan, Scan, earlier_max, following, previous, running_max, running_sum, split_by_heat,
+    ChunkedScan, Scan, earlier_max, following, previous, running_max, running_sum, split_by_heat, trailing_moments,
 )
 
 
@@ -62,3 +62,32 @@ def test_hot_keys_only_are_chunked(spark):
     kinds.clear()
     split_by_heat(sample(spark), ["key"], ["at"], body, hot_key_rows=2500)
     assert kinds == [Scan]
+
+
+@pytest.mark.parametrize("length, hot", [(1, None), (7, None), (50, None), (7, 300), (50, 300)])
+def test_trailing_moments_equal_those_of_every_frame(spark, length, hot):
+    df = sample(spark, 1_500).withColumn("v", F.col("v") + 1e7)
+
+    def body(frame, scan):
+        return trailing_moments(frame, scan, "v", length)
+
+    got = split_by_heat(df, ["key"], ["at"], body, hot_key_rows=hot, chunk_rows=100).collect()
+    series = {}
+    for r in df.collect():
+        series.setdefault(r.key, []).append((r["at"], r.v))
+    expected = {}
+    for key, own in series.items():
+        own.sort()
+        for i, (at, _) in enumerate(own):
+            frame = [v for _, v in own[max(0, i - length) : i] if v is not None]
+            mean = sum(frame) / len(frame) if frame else None
+            expected[key, at] = (len(frame), mean, sum((v - mean) ** 2 for v in frame) if frame else None)
+    assert len(got) == len(expected) == 1_500
+    for r in got:
+        n, mean, m2 = expected[r.key, r["at"]]
+        assert r.trailing_count == n
+        if not n:
+            assert r.trailing_mean is None and r.trailing_m2 is None
+        else:
+            assert r.trailing_mean == pytest.approx(mean, rel=1e-12)
+            assert r.trailing_m2 == pytest.approx(m2, rel=1e-9, abs=1e-6)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +74,24 @@ def numbered(df: DataFrame, name: str, key: Column, ties: list[str], within: Col
     )
 
 
+def in_stored_order(docs: DataFrame) -> DataFrame:
+    """(row, n): the rows of `docs` as structs, numbered from 0 by the files they are stored in, then place.
+
+    Dense and unique, from what the Parquet reader knows: rows don't move, and nothing is hashed. A
+    table that was written sorted is numbered in that order. What isn't a scan of files is stored first.
+    The rows before a file come from a table with one row per file.
+    """
+    places = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+    try:
+        placed = docs.select(F.struct("*").alias("row"), *places)
+    except AnalysisException:
+        placed = cut_lineage(docs).select(F.struct("*").alias("row"), *places)
+    sizes = placed.groupBy("file").agg((F.max("at") + 1).alias("rows"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    return placed.join(sizes, "file").select("row", (F.col("before") + F.col("at")).cast("long").alias("n"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): every node of `edges` (a, b) with the smallest node it is connected to.
 

@@ -5,6 +5,10 @@ Rows are numbered 0 to N-1 (hashed-key order), and the number goes through a key
 permuted number p gives shard p mod S and slot p div S, so shards differ by one row at most, slots
 have no gaps, and both can be computed for any row number, and inverted, without a table.
 
+Rows that have an order already, such as that of a mix, keep it: `sharded_in_order` permutes inside
+windows of consecutive rows only, each with keys of its own, so the first slots of all shards together
+hold the first rows.
+
 A NULL text has no bytes (size 16, crc of nothing). Repeated rows get numbers of their own. An empty
 table gives an empty result. Added columns replace columns of the same name.
 """
@@ -67,6 +71,20 @@ def permuted(numbers: np.ndarray, n: int, seed: int = SEED, inverse: bool = Fals
     return out.astype(np.int64)
 
 
+def permuted_in_windows(numbers: np.ndarray, n: int, window: int, seed: int = SEED) -> np.ndarray:
+    """0..n-1 permuted inside windows of `window` numbers, the last one shorter."""
+    numbers = np.asarray(numbers).astype(np.int64)
+    out = np.empty_like(numbers)
+    which = numbers // window
+    order = np.argsort(which, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
+        if len(part):
+            start = int(which[part[0]]) * window
+            own = permuted(numbers[part] - start, min(window, n - start), seed + 1 + int(which[part[0]]))
+            out[part] = start + own
+    return out
+
+
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumns(
@@ -99,3 +117,25 @@ def sharded(
         )
         .drop("_number", "_p")
     )
+
+
+def sharded_in_order(
+    docs: DataFrame, number: str, shards: int = SHARDS, blocks: int = 64, seed: int = SEED
+) -> DataFrame:
+    """`docs` with shard and slot, numbered 0 to N-1 by the column `number`, which is dropped.
+
+    The permutation stays inside windows of shards x blocks rows: slots below a multiple of `blocks`, over
+    all shards, hold exactly the rows with the smallest numbers. No exchange.
+    """
+    n = docs.count()
+    window = shards * blocks
+
+    @F.pandas_udf("long")
+    def permute(numbers: pd.Series) -> pd.Series:
+        return pd.Series(permuted_in_windows(numbers.to_numpy(), n, window, seed))
+
+    return (
+        docs.withColumn(number, permute(number))
+        .withColumns({"shard": (F.col(number) % shards).cast("int"), "slot": F.expr(f"{number} div {int(shards)}")})
+        .drop(number)
+    )

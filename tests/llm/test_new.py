@@ -10,7 +10,8 @@ import zlib
 import numpy as np
 import pytest
 
-from hindcast.llm import chat, merkle, queries, runs
+import corpus_pipeline as pipeline
+from hindcast.llm import chat, common, merkle, queries, runs, sharding
 
 from brute import UPPER, words
 
@@ -278,3 +279,60 @@ def test_a_deep_tree_takes_few_joins(spark):
     nodes, ancestors = chat._rooted(frame)
     assert len(ancestors) == 12 and nodes.count() == n
     assert nodes.agg({"length": "max"}).first()[0] == n
+
+
+# ---- rows in the order they are stored in ----
+
+
+def test_stored_order_is_dense_and_that_of_a_sorted_table(spark, hard, no_rows, tmp_path):
+    rows = spark.range(5_000).selectExpr("id", "hash(id) as h", "'x' as _file0").repartition(7)
+    rows.orderBy("h").write.parquet(str(tmp_path / "sorted"))
+    stored = spark.read.parquet(str(tmp_path / "sorted"))
+    numbered = sorted((r.n, r.row.h) for r in common.in_stored_order(stored).collect())
+    assert [n for n, _ in numbered] == list(range(5_000))
+    assert [h for _, h in numbered] == sorted(h for _, h in numbered)
+    # What is no scan of files is stored first.
+    placed = common.in_stored_order(hard).collect()
+    assert sorted(map(repr, (r.row for r in placed))) == sorted(map(repr, hard.collect()))
+    assert sorted(r.n for r in placed) == list(range(hard.count()))
+    assert common.in_stored_order(no_rows).count() == 0
+
+
+@pytest.mark.parametrize("n, window", [(0, 80), (1, 80), (79, 80), (1_000, 80), (5_000, 2_560)])
+def test_permutation_in_windows(n, window):
+    out = sharding.permuted_in_windows(np.arange(n), n, window)
+    for start in range(0, n, window):
+        part = out[start : start + window]
+        assert sorted(part.tolist()) == list(range(start, min(n, start + window)))
+    shuffled = np.random.default_rng(1).permutation(n)
+    assert (sharding.permuted_in_windows(shuffled, n, window) == out[shuffled]).all()
+    if n == 5_000:
+        assert (out[:2_560] != np.arange(2_560)).mean() > 0.9
+
+
+def test_prefixes_of_all_shards_keep_the_weights(spark, tmp_path):
+    sizes = {**{f"s{k}": 1_500 for k in range(4)}, "big": 9_000, "tiny": 1, None: 1}
+    own = [(i, f"t{i}", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    random.seed(2)
+    random.shuffle(own)
+    docs = spark.createDataFrame(own, "doc_id long, text string, source string")
+    pipeline.source_mixing(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    order = [r.doc_id for r in pipeline.source_mixing(spark, docs, "").collect()]
+    rows = pipeline.sharding_rows(spark, mixed, "").collect()
+    assert len(rows) == len(own) and {r.shard for r in rows} == set(range(40))
+    by_shard = collections.Counter(r.shard for r in rows)
+    assert max(by_shard.values()) - min(by_shard.values()) <= 1
+    weight = {s: n**0.75 for s, n in sizes.items()}
+    whole = sum(weight.values())
+    for slots in (64, 128, 192):
+        taken = [r for r in rows if r.slot < slots]
+        assert {r.doc_id for r in taken} == set(order[: slots * 40])
+        counts = collections.Counter(r.source for r in taken)
+        for s, w in weight.items():
+            if sizes[s] > 1:
+                # Less than a block of four rows, parts of a thousand, and the rows of the two tiny sources.
+                assert abs(counts[s] - w / whole * len(taken)) < 4 * 2 + 0.002 * len(taken)
+    # In the corpus's own order the weights would not hold.
+    plain = collections.Counter(s for _, _, s in own[: 64 * 40])
+    assert abs(plain["big"] - weight["big"] / whole * 64 * 40) > 4 * 2 + 0.002 * 64 * 40

@@ -71,6 +71,8 @@ def test_hard_rows_pass_every_stage(spark, hard, no_rows):
             assert n <= docs.count()
             if docs is hard and name in ("benchmark decontamination", "sharding"):
                 assert n == docs.count()
+            # Columns of the names that the stages use inside come through as they were.
+            assert {(r.k, r.row[0], r.h, r.group) for r in out.select("k", "row", "h", "group").collect()} <= {(2, 1, 1, "g")}
 
 
 def test_near_duplicates_of_hard_rows(spark, hard):

@@ -79,7 +79,8 @@ def in_stored_order(docs: DataFrame) -> DataFrame:
 
     Dense and unique, from what the Parquet reader knows: rows don't move, and nothing is hashed. A
     table that was written sorted is numbered in that order. What isn't a scan of files is stored first.
-    The rows before a file come from a table with one row per file.
+    The rows before a file come from a table with one row per file, stored so that its size is known when
+    the join is planned: rows are shuffled only if it is too large to broadcast.
     """
     places = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
     try:
@@ -88,7 +89,7 @@ def in_stored_order(docs: DataFrame) -> DataFrame:
         placed = cut_lineage(docs).select(F.struct("*").alias("row"), *places)
     sizes = placed.groupBy("file").agg((F.max("at") + 1).alias("rows"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    sizes = cut_lineage(sizes.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before")))
     return placed.join(sizes, "file").select("row", (F.col("before") + F.col("at")).cast("long").alias("n"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog import oracle, views
@@ -330,6 +330,46 @@ def forward_asof_price(t: Tables) -> DataFrame:
     return asof.nearest_on_or_after(current, views.rebalance_dates(t), by=["entity_id"], value="close")
 
 
+_INSTANTS = """
+  select l.event_id, l.user_id, r.event_id as matched_event_id, round(r.value, 6) as matched_value,
+         strftime(r.ts, '%Y-%m-%d %H:%M:%S') as matched_ts
+  from events l left join lateral (
+    select * from events r where {match} order by {order} limit 1) r on true
+  where l.event_type = '{left}'"""
+
+
+def _instants(t: Tables, left: str, right: str, by: Column, **options) -> DataFrame:
+    events = t.events.select("event_id", "ts", "user_id", "event_type", "value", by.alias("key"))
+    found = asof.nearest_instant(
+        events.where(F.col("event_type") == left), events.where(F.col("event_type") == right),
+        by=["key"], left_time="ts", right_time="ts", payload=["event_id", "value"], **options,
+    )
+    return found.select("event_id", "user_id", "matched_event_id", "matched_value", "matched_ts")
+
+
+@query(
+    _INSTANTS.format(
+        left="error", order="r.ts, r.event_id desc",
+        match="""r.event_type = 'purchase' and r.user_id = l.user_id and r.ts >= l.ts
+                 and r.ts <= l.ts + interval 36 hours""",
+    )
+)
+def asof_next_instant(t: Tables) -> DataFrame:
+    """After each error of a user, their next purchase within 36 hours."""
+    return _instants(t, "error", "purchase", F.col("user_id"), tolerance_s=36 * 3600)
+
+
+@query(
+    _INSTANTS.format(
+        left="purchase", order="r.ts desc, r.event_id desc",
+        match="r.event_type = 'view' and r.user_id % 3 = l.user_id % 3 and r.ts <= l.ts",
+    )
+)
+def asof_last_instant_hot(t: Tables) -> DataFrame:
+    """Before each purchase, the last view in its third of the users, with keys scanned in chunks."""
+    return _instants(t, "purchase", "view", F.col("user_id") % 3, direction="backward", hot_key_rows=100)
+
+
 @query(
     with_parts(
         ["cal"],

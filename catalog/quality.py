@@ -585,3 +585,43 @@ def blast_radius(t: Tables) -> DataFrame:
 )
 def at_risk(t: Tables) -> DataFrame:
     return feeds.at_risk(_feed_status(t), _edges(t))
+
+
+_CHAINED = """
+  edges as (
+    select 'c' || c_custkey as src, 'c' || case when c_custkey % 10 = 0 then c_custkey - 9 else c_custkey + 1 end as dst
+    from customer
+    union select 'c' || c_custkey, 's' || (c_custkey % 97) from customer where c_custkey % 25 = 0
+    union select 's' || s_suppkey, 'n' || s_nationkey from supplier),
+  status as (
+    select 'c' || c_custkey as source, case when c_acctbal < 0 then 'breach' when c_acctbal < 1000 then 'stale'
+                                            else 'ok' end as status
+    from customer)"""
+
+
+@query(
+    f"""with recursive {_CHAINED}, reach(root, node) as (
+          select src, dst from edges where src in (select source from status where status <> 'ok')
+          union select r.root, e.dst from reach r join edges e on r.node = e.src)
+        select node, count(distinct root) as n_feeds from reach group by all"""
+)
+def at_risk_rings(t: Tables) -> DataFrame:
+    """A deep graph with a ring of every ten customers, more failing feeds than bits in a word."""
+    def named(prefix: str, number: Column) -> Column:
+        return F.concat(F.lit(prefix), number.cast("string"))
+
+    key = F.col("c_custkey")
+    after = F.when(key % 10 == 0, key - 9).otherwise(key + 1)
+    edges = (
+        t.customer.select(named("c", key).alias("src"), named("c", after).alias("dst"))
+        .unionByName(
+            t.customer.where(key % 25 == 0).select(named("c", key).alias("src"), named("s", key % 97).alias("dst"))
+        )
+        .unionByName(
+            t.supplier.select(
+                named("s", F.col("s_suppkey")).alias("src"), named("n", F.col("s_nationkey")).alias("dst")
+            )
+        )
+    )
+    worst = F.when(F.col("c_acctbal") < 0, "breach").when(F.col("c_acctbal") < 1000, "stale").otherwise("ok")
+    return feeds.at_risk(t.customer.select(named("c", key).alias("source"), worst.alias("status")), edges)

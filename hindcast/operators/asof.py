@@ -7,8 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hindcast import schemas
+from hindcast.operators import ordered
 from hindcast.operators.frames import literal_table
 
 SEARCH_DAYS = 10
@@ -127,3 +129,71 @@ def _until_next(daily: DataFrame, by: Sequence[str], day: str) -> DataFrame:
     # Unique per (group, day), so a group is no longer than the calendar of its days.
     window = Window.partitionBy(*by).orderBy(day)
     return daily.withColumn("__until", F.lead(day).over(window))
+
+
+def nearest_instant(
+    left: DataFrame,
+    right: DataFrame,
+    *,
+    by: Sequence[str],
+    left_time: str,
+    right_time: str,
+    payload: Sequence[str],
+    direction: str = "forward",
+    tolerance_s: float | None = None,
+    prefix: str = "matched_",
+    hot_key_rows: int | None = ordered.HOT_KEY_ROWS,
+) -> DataFrame:
+    """Every row of `left` with the row of `right` at the nearest instant on or after (`forward`) or on or
+    before (`backward`) its own, per `by` group.
+
+    Both sides are merged in one order of instants and the last row of `right` is carried along, so a row
+    costs the same however many instants there are: nothing is widened by day and no pairs are formed. A
+    key with any share of the rows is scanned in chunks (`ordered.split_by_heat`).
+
+    Adds `<prefix><right_time>` and a `<prefix>` column for each of `payload`, replacing columns of `left`
+    with those names. They are NULL where nothing lies within `tolerance_s` seconds (its end included), where
+    a key or the instant is NULL, and for rows of `right` only where their values are. Rows of `right` at one
+    instant are told apart by their payload, the greatest of which counts; so it holds no maps. Repeated
+    rows of `left` are kept. Instants are TIMESTAMPs, compared to the microsecond.
+    """
+    if direction not in ("forward", "backward"):
+        raise ValueError(f"unknown direction {direction!r}")
+    sign = -1 if direction == "forward" else 1
+    added = [right_time, *payload]
+    keys = [f"__key_{i}" for i in range(len(by))]
+    carried = T.StructType(
+        [T.StructField("at", T.LongType()), T.StructField("row", T.StructType([right.schema[c] for c in added]))]
+    )
+
+    def merged(side: DataFrame, instant: str, is_left: int, row: Column, found: Column) -> DataFrame:
+        at = F.unix_micros(F.col(instant).cast("timestamp")) * sign
+        return side.select(
+            *[F.col(name).alias(key) for name, key in zip(by, keys)],
+            at.alias("__at"), F.lit(is_left).alias("__side"), row.alias("__left"), found.alias("__right"),
+        )
+
+    whole = F.struct(*[F.col(name) for name in left.columns])
+    at = F.unix_micros(F.col(right_time).cast("timestamp")) * sign
+    found = F.struct(at.alias("at"), F.struct(*added).alias("row"))
+    asked = merged(left, left_time, 1, whole, F.lit(None).cast(carried))
+    offered = merged(right, right_time, 0, F.lit(None).cast(left.schema), found.cast(carried))
+    complete = F.lit(True)
+    for name in [*keys, "__at"]:
+        complete = complete & F.col(name).isNotNull()
+    # At equal instants rows of `right` come first: they lie on the row of `left`.
+    both = asked.where(complete).unionByName(offered.where(complete))
+    scanned = ordered.split_by_heat(
+        both, keys, ["__at", "__side"],
+        lambda rows, scan: scan(rows, __last=ordered.running_max(F.col("__right"))),
+        hot_key_rows=hot_key_rows,
+    )
+    matched = scanned.where("__side = 1").select("__at", "__left", "__last")
+    alone = asked.where(~complete).select("__at", "__left", F.lit(None).cast(carried).alias("__last"))
+    near = F.lit(True) if tolerance_s is None else (
+        F.col("__at") - F.col("__last.at") <= F.lit(round(tolerance_s * 1_000_000))
+    )
+    new = {f"{prefix}{name}": F.when(near, F.col("__last.row")[name]).alias(f"{prefix}{name}") for name in added}
+    return matched.unionByName(alone).select(
+        *[F.col("__left")[name].alias(name) for name in left.columns if name not in new], *new.values()
+    )

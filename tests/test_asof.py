@@ -226,3 +226,56 @@ def test_scalars(spark):
     assert tuple(row) == (
         "BRK-B", "0000320193", "12345678901", None, d("2024-01-02"), 0, '{"left":100.0,"right":null}',
     )
+
+
+def nearest_by_hand(left, right, forward, tolerance):
+    out = []
+    for key, at, tag in left:
+        found = []
+        for r_key, r_at, value in right:
+            apart = None if None in (at, r_at) else (r_at - at if forward else at - r_at).total_seconds()
+            if key is not None and key == r_key and apart is not None and 0 <= apart <= tolerance:
+                # Nearest first; at one instant the greatest value counts, NULL being the least.
+                found.append((-apart, value is not None, value or 0, r_at, value))
+        best = max(found)[3:] if found else (None, None)
+        out.append((key, at, tag, *best))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("direction", ["forward", "backward"])
+@pytest.mark.parametrize("tolerance", [None, 40])
+@pytest.mark.parametrize("hot_key_rows", [None, 25])
+def test_nearest_instant_like_brute_force(spark, direction, tolerance, hot_key_rows):
+    random.seed(7)
+    start = dt.datetime(2024, 1, 1)
+
+    def side(n, values):
+        # Half of the rows share one key; few instants, so that many are equal.
+        return [
+            (random.choice(["a", "a", "a", "b", "c", None]),
+             random.choice([None, *[start + dt.timedelta(seconds=random.randrange(300), microseconds=5)] * 9]),
+             random.choice(values))
+            for _ in range(n)
+        ]
+
+    left, right = side(80, [1, 1, 2]), side(60, [1, 2, 3, None])
+    found = asof.nearest_instant(
+        spark.createDataFrame(left, "k string, at timestamp, tag int"),
+        spark.createDataFrame(right, "k string, at timestamp, tag int"),
+        by=["k"], left_time="at", right_time="at", payload=["tag"], direction=direction,
+        tolerance_s=tolerance, hot_key_rows=hot_key_rows,
+    )
+    assert found.columns == ["k", "at", "tag", "matched_at", "matched_tag"]
+    assert rows(found) == nearest_by_hand(left, right, direction == "forward", tolerance or 10**9)
+
+
+def test_nearest_instant_of_empty_sides_and_its_plan(spark):
+    one = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 1)], "k string, at timestamp, v int")
+    none = one.limit(0)
+    options = dict(by=["k"], left_time="at", right_time="at", payload=["v"])
+    assert rows(asof.nearest_instant(one, none, **options)) == [("a", dt.datetime(2024, 1, 1), 1, None, None)]
+    assert asof.nearest_instant(none, one, **options).count() == 0
+    plan = asof.nearest_instant(one, one, **options)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    with pytest.raises(ValueError, match="direction"):
+        asof.nearest_instant(one, one, direction="sideways", **options)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -275,3 +276,29 @@ def test_downstream_ends_on_cycles_and_dead_ends(spark):
     roots = spark.createDataFrame([("a",), ("z",)], "root string")
     assert rows(feeds.downstream(edges, roots)) == [("a", "b"), ("a", "c")]
     assert feeds.downstream(edges, roots.where("root = 'z'")).count() == 0
+
+
+def test_downstream_of_many_roots_like_a_walk_of_the_graph(spark):
+    random.seed(3)
+    pairs = {(random.randrange(120), random.randrange(120)) for _ in range(110)}
+    pairs |= {(n, n + 1) for n in range(200, 230)} | {(230, 200)}
+    starts = [*range(0, 100), 200, 215, 999]
+    edges = [(str(a), str(b)) for a, b in pairs]
+
+    def walk(root):
+        seen, todo = set(), [root]
+        while todo:
+            node = todo.pop()
+            new = {b for a, b in edges if a == node} - seen
+            seen |= new
+            todo += new
+        return seen
+
+    expected = {(str(root), node) for root in starts for node in walk(str(root))}
+    graph = spark.createDataFrame([*edges, edges[0], (None, "1"), ("1", None)], "src string, dst string")
+    roots = spark.createDataFrame([(str(r),) for r in [*starts, starts[0]]] + [(None,)], "root string")
+    assert rows(feeds.downstream(graph, roots)) == sorted(expected, key=repr)
+    status = roots.select(F.col("root").alias("source"), F.lit("breach").alias("status"))
+    counted = {node: sum(node == n for _, n in expected) for _, node in expected}
+    assert {r.node: r.n_feeds for r in feeds.at_risk(status, graph).collect()} == counted
+    assert feeds.at_risk(status.limit(0), graph).count() == 0

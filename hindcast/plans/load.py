@@ -154,9 +154,9 @@ def run_parse(lake: Lake, universe: DataFrame, metric_map: MetricMap) -> DataFra
         )
         mapping = lake.spark.read.schema(schemas.ENTITY_TICKER).parquet(mapping_path)
         _refuse(lake, "entities", integrity.entity_invariants(entity, mapping), entity_path, mapping_path)
-        lake.replace(STG, run.counting(staged))
-        lake.publish(entity_path)
-        lake.publish(mapping_path)
+        staged_path = lake.stage(STG, run.counting(staged))
+        # By one marker: facts, entities and tickers of a run are seen together or not at all.
+        lake.publish(staged_path, entity_path, mapping_path)
     return rejects
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 
 PUBLISHED = "_PUBLISHED"
+MEMBER = "_MEMBER-"
+GROUPS = "_groups"
 
 
 class Lake:
@@ -17,7 +19,9 @@ class Lake:
     Replacing a table stages a new version folder next to the old one and then publishes it: an
     empty marker file, put there last. Readers take the newest version that has it. So a table can
     be rebuilt from itself, a failed write changes nothing, and a staged version can be checked and
-    given up while readers keep the old one. A table has one writer at a time.
+    given up while readers keep the old one. Versions of several tables may be published together:
+    each names a group, and the group's file, put down last, publishes them all. A table has one
+    writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -27,13 +31,19 @@ class Lake:
     def path(self, table: str) -> str:
         return f"{self.root}/{table.replace('.', '/')}"
 
-    def _versions(self, table: str) -> list[str]:
+    def _found(self, pattern: str) -> list:
         jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/version=*/{PUBLISHED}")
-        found = fs.globStatus(pattern) or []
-        return sorted(str(status.getPath().getParent().toString()) for status in found)
+        path = jvm.org.apache.hadoop.fs.Path(pattern)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [status.getPath() for status in fs.globStatus(path) or []]
+
+    def _versions(self, table: str) -> list[str]:
+        versions = f"{self.path(table)}/version=*"
+        alone = [str(path.getParent().toString()) for path in self._found(f"{versions}/{PUBLISHED}")]
+        members = self._found(f"{versions}/{MEMBER}*")
+        groups = {path.getName() for path in self._found(f"{self.root}/{GROUPS}/*")} if members else set()
+        together = [str(p.getParent().toString()) for p in members if p.getName()[len(MEMBER):] in groups]
+        return sorted({*alone, *together})
 
     def read(self, table: str, schema: T.StructType) -> DataFrame:
         """The newest snapshot, or an empty table."""
@@ -50,12 +60,21 @@ class Lake:
         rows.write.partitionBy(*partition_by).parquet(target)
         return target
 
-    def publish(self, staged: str) -> None:
-        """Make a staged version the current one."""
+    def _mark(self, file: str) -> None:
         jvm = self.spark._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{staged}/{PUBLISHED}")
-        fs = marker.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.create(marker, False).close()
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.create(path, False).close()
+
+    def publish(self, *staged: str) -> None:
+        """Make staged versions the current ones, all of them by one file if they are several."""
+        if len(staged) == 1:
+            self._mark(f"{staged[0]}/{PUBLISHED}")
+            return
+        group = uuid.uuid4().hex
+        for version in staged:
+            self._mark(f"{version}/{MEMBER}{group}")
+        self._mark(f"{self.root}/{GROUPS}/{group}")
 
     def discard(self, staged: str) -> None:
         jvm = self.spark._jvm

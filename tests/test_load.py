@@ -14,7 +14,7 @@ from hindcast import config, schemas
 from hindcast.operators import integrity
 from hindcast.plans import lineage, load, quality
 from hindcast.sources.lake import Lake
-from hindcast.streaming.prices import read_price_facts, start_price_refresh
+from hindcast.streaming.prices import _CONTENT, read_price_facts, start_price_refresh
 
 METRICS = config.metric_map(config.METRICS)
 
@@ -172,6 +172,67 @@ def test_a_bucket_that_ends_empty_is_emptied(spark, lake, tmp_path):
     assert read_price_facts(spark, state).count() == 0
 
 
+def test_a_changed_mapping_reaches_buckets_without_new_payloads(spark, lake, tmp_path, monkeypatch):
+    load.run_parse(lake, universe(spark, "AAPL"), METRICS)
+    mapping = lake.read(load.TICKER, schemas.ENTITY_TICKER)
+    state = f"{tmp_path}/stream"
+
+    def refresh(names):
+        start_price_refresh(
+            spark, f"{lake.path(load.PAYLOAD)}/log", "yfinance", names, lag_days=1, state_path=state, buckets=4
+        ).awaitTermination()
+
+    def ids():
+        return {r.entity_id for r in read_price_facts(spark, state).collect()}
+
+    assert ids() == set()
+    refresh(mapping)
+    first = ids()
+    refresh(mapping.withColumn("entity_id", F.lit(77).cast("bigint")))
+    assert len(first) == 1 and first != {77} and ids() == {77}
+
+    def die(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(Lake, "replace", die)
+        with pytest.raises(RuntimeError, match="lost"):
+            refresh(mapping)
+    assert ids() == {77}
+    content = rows(Lake(spark, state).read("price_content", _CONTENT))
+    refresh(mapping.withColumn("entity_id", F.lit(77).cast("bigint")))
+    # The same mapping and no payloads: nothing is written anew.
+    assert rows(Lake(spark, state).read("price_content", _CONTENT)) == content
+
+
+def test_a_parse_that_dies_publishes_nothing(spark, lake, monkeypatch):
+    tables = {load.STG: schemas.STG_FACT, load.ENTITY: schemas.ENTITY, load.TICKER: schemas.ENTITY_TICKER}
+
+    def counts():
+        return [lake.read(name, schema).count() for name, schema in tables.items()]
+
+    mark = Lake._mark
+
+    def die_at(step):
+        def marked(self, file):
+            if step in file:
+                raise RuntimeError("lost")
+            mark(self, file)
+        return marked
+
+    for step in ("core/entity/", "core/entity_ticker/", "/_groups/"):
+        with monkeypatch.context() as patched:
+            patched.setattr(Lake, "_mark", die_at(step))
+            with pytest.raises(RuntimeError, match="lost"):
+                load.run_parse(lake, universe(spark, "AAPL"), METRICS)
+        assert counts() == [0, 0, 0]
+    load.run_parse(lake, universe(spark, "AAPL"), METRICS)
+    assert all(counts())
+    # A later version published alone follows one that was published in a group.
+    lake.replace(load.ENTITY, lake.read(load.ENTITY, schemas.ENTITY).limit(0))
+    assert counts()[1] == 0 and lake.drop_old_versions(load.ENTITY, keep=1) == 1
+
+
 def test_parse_needs_a_ticker_map(spark, tmp_path):
     with pytest.raises(RuntimeError, match="no ticker map"):
         load.run_parse(Lake(spark, str(tmp_path)), universe(spark, "AAPL"), METRICS)

@@ -5,11 +5,12 @@ Each n-gram's log-count ratio says how much more often toxic training documents
 FEATURES n-grams that tell the classes apart best are kept, scaled by their ratio, and a logistic
 regression is trained on them.
 
-Learning uses at most about LEARNED_ROWS labelled rows, chosen by a hash of the id; scoring reads
-whole texts of all documents. NULL counts as empty and gets the score of a text without features.
+Learning uses about LEARNED_ROWS labelled rows, chosen by a hash of the id, and never more than about
+twice as many, however many texts an id has; scoring reads whole texts of all documents. NULL counts as empty and gets the score of a text without features.
 Without training rows of both classes every score is near 1 or near 0, as the only class says (near
 0 without any row).
-Repeated documents count as often as they occur, repeated labels once.
+Equal texts of different ids count as often as they occur; repeated rows and repeated labels once.
+Features that tell the classes apart equally well are taken in order of their hash.
 """
 
 from __future__ import annotations
@@ -104,12 +105,13 @@ def _trained(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray) ->
     return w * ratios / length, float(b)
 
 
-def fitted(
+def sampled(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic"
-) -> Model:
-    """The model learned from the rows of `docs` whose key has a label 0 or 1 in `labels`.
+) -> DataFrame:
+    """(t, y): texts and labels to learn from, about LEARNED_ROWS of distinct ids.
 
-    The driver holds the kept features' counts and the sampled rows as lists of kept features.
+    Repeated rows count once. An id may have any number of texts: more than twice LEARNED_ROWS are
+    thinned out by another draw, on id and text.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     usable = usable.select(key, F.col(label).cast("int").alias("y")).distinct()
@@ -117,7 +119,22 @@ def fitted(
     draw = F.xxhash64(key, F.lit(2)).bitwiseAND(2**31 - 1) / 2.0**31
     # About LEARNED_ROWS rows of 12 bytes, whatever the size of the tables.
     ids = F.broadcast(usable.where(draw < LEARNED_ROWS / max(total, 1)))
-    sample = cut_lineage(docs.select(key, F.col(text).alias("t")).join(ids, key).select("t", "y"))
+    drawn = docs.select(key, F.col(text).alias("t")).join(ids, key)
+    drawn = cut_lineage(drawn.select(F.col(key).alias("k"), "t", "y").distinct())
+    most = 2 * LEARNED_ROWS
+    again = F.xxhash64("k", "t", F.lit(3)).bitwiseAND(2**31 - 1) / 2.0**31
+    return drawn.where(again < most / max(drawn.count(), most)).select("t", "y")
+
+
+def fitted(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic"
+) -> Model:
+    """The model learned from the rows of `docs` whose key has a label 0 or 1 in `labels`.
+
+    The driver holds the kept features' counts and the sampled rows as lists of kept features:
+    at most some 2 x LEARNED_ROWS lists of at most 4 x FEATURES bytes.
+    """
+    sample = sampled(docs, labels, key, text, label)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = np.zeros((2, BUCKETS), dtype=np.int32)

@@ -6,6 +6,8 @@ user names count as part of the host, as the contract cuts at "/", "?" and "#" o
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,14 +60,15 @@ def judged(
     `rules` are (verdict, host, path). The longest fitting rule wins (host and path together); of
     equally long ones the one with the longer host, then block before allow. Expressions are made
     once per distinct (host, path) that occurs, matched by a prefix of their digest, confirmed by
-    the whole digest, and the winning rule is joined back; repeated pages stay repeated.
+    the whole digest, and the winning rule is joined back; repeated pages stay repeated. Columns of
+    `pages` named host, path, rule or verdict are replaced, others pass through; no pages, no rows.
     """
-    spark = pages.sparkSession
     host, path = host_and_path(F.col(url))
     parted = pages.withColumns({"host": host, "path": path})
-    listed = spark.createDataFrame(
-        [(v, h, p) for v, h, p in rules], "r_verdict string, r_host string, r_path string"
-    )
+    # One literal, however many rules, so that no Python rows enter the plan.
+    given = json.dumps([{"r_verdict": v, "r_host": h, "r_path": p} for v, h, p in rules])
+    rule_type = "array<struct<r_verdict:string,r_host:string,r_path:string>>"
+    listed = pages.sparkSession.range(1).select(F.inline(F.from_json(F.lit(given), rule_type)))
     listed = listed.withColumn("r_digest", digest(F.col("r_host"), F.col("r_path"))).withColumn(
         "prefix", F.substring("r_digest", 1, PREFIX_DIGITS)
     )
@@ -88,16 +91,16 @@ def judged(
         .agg(
             F.max_by(
                 F.struct(F.concat("r_host", "r_path").alias("rule"), "r_verdict"), precedence
-            ).alias("won")
+            ).alias("__won")
         )
     )
     return (
         parted.join(won, ["host", "path"], "left")
         .withColumns(
             {
-                "rule": F.col("won.rule"),
-                "verdict": F.coalesce(F.col("won.r_verdict"), F.lit(DEFAULT_VERDICT)),
+                "rule": F.col("__won.rule"),
+                "verdict": F.coalesce(F.col("__won.r_verdict"), F.lit(DEFAULT_VERDICT)),
             }
         )
-        .drop("won")
+        .drop("__won")
     )

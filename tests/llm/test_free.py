@@ -295,6 +295,18 @@ def test_toxicity_of_held_out_documents(spark):
     assert sum(pairs) / len(pairs) > 0.9
 
 
+def test_toxicity_learns_from_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEARNED_ROWS", 50)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    many = spark.range(2000).selectExpr("1 + id % 2 as doc_id", "if(id < 1000, 'same words', concat('words ', id)) as text")
+    assert 50 <= toxicity.sampled(many, labels).count() <= 150
+    few = many.where("text = 'same words' or text like '%99'")
+    rows = toxicity.sampled(few, labels).collect()
+    assert len(rows) == len(set(rows)) == 12
+    score = [r.score for r in toxicity.scored(many, toxicity.fitted(many, labels)).collect()]
+    assert len(score) == 2000 and all(0 <= x <= 1 for x in score)
+
+
 def test_toxicity_without_labels_and_of_hard_texts(spark, hard, no_rows):
     labels = spark.createDataFrame([(6, 1), (9, 0), (9, 0), (99, 1), (None, 1), (1, None), (2, 7)], "doc_id long, toxic int")
     for learned in (labels, labels.limit(0), labels.where("toxic = 1")):

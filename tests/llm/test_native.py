@@ -101,6 +101,12 @@ def test_urls_of_every_page_and_hard_ones(spark):
     for row in rows:
         assert (row.host, row.path, row.rule, row.verdict) == verdict(row.url, more), row.url
     assert urls.judged(frame.limit(0), rules).count() == 0
+    clashing = frame.selectExpr("*", "page_id as won", "url as r_host", "url as prefix", "url as e", "url as host")
+    named = urls.judged(clashing, [("block", "b.com", "/ab\"'\\é")])
+    assert [r.won for r in named.sort("page_id").collect()] == list(range(len(asked)))
+    assert {"r_host", "prefix", "e", "host", "path", "rule"} <= set(named.columns)
+    quoted = spark.createDataFrame([("http://x.b.com/ab\"'\\é/1",)], "url string")
+    assert urls.judged(quoted, [("block", "b.com", "/ab\"'\\é")]).first().rule == "b.com/ab\"'\\é"
     assert {r.verdict for r in urls.judged(frame, []).collect()} == {"allow"}
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast import schemas
+from hindcast.operators.frames import null_safe_join
 from hindcast.operators.ordered import HOT_KEY_ROWS, Scan, earlier_max, split_by_heat
 
 
@@ -59,10 +60,16 @@ def window_violations(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("knowledge_from") >= F.col("knowledge_to"))
 
 
-def orphans(rows: DataFrame, column: str, parents: DataFrame, parent_column: str) -> DataFrame:
-    """Rows whose non-NULL `column` has no parent row."""
-    known = parents.select(F.col(parent_column).alias(column)).distinct()
-    return rows.where(F.col(column).isNotNull()).join(known, column, "left_anti")
+def orphans(
+    rows: DataFrame, column: str, parents: DataFrame, parent_column: str, within: Sequence[str] = ()
+) -> DataFrame:
+    """Rows whose non-NULL `column` has no parent row, among the parents equal in `within`.
+
+    An id is a hash of a natural key. Parts of that key in `within` (NULLs are equal) keep another
+    key's id, equal by chance, from passing as the parent.
+    """
+    known = parents.select(*within, F.col(parent_column).alias(column)).distinct()
+    return null_safe_join(rows.where(F.col(column).isNotNull()), known, [column, *within], "left_anti")
 
 
 def lineage_violations(facts: DataFrame, payload: DataFrame) -> DataFrame:
@@ -122,9 +129,12 @@ def fundamental_invariants(
         window_order=window_violations(facts),
         payload_lineage=lineage_violations(facts, payload),
         known_entity=orphans(facts, "entity_id", entity, "entity_id"),
-        supersedes_exists=orphans(facts, "supersedes", facts, "fact_id"),
+        supersedes_exists=orphans(
+            facts, "supersedes", facts, "fact_id", within=["metric_code", "period_start", "period_end"]
+        ),
         unique_version=duplicate_keys(facts, [*schemas.FACT_KEY, "knowledge_from"]),
-        unique_id=duplicate_keys(facts, ["fact_id"]),
+        # Ids tell the versions of one key apart: hashes that agree across keys do no harm.
+        unique_id=duplicate_keys(facts, [*schemas.FACT_KEY, "fact_id"]),
     )
 
 
@@ -138,7 +148,7 @@ def price_invariants(facts: DataFrame, payload: DataFrame, entity: DataFrame) ->
         payload_lineage=lineage_violations(facts, payload),
         known_entity=orphans(facts, "entity_id", entity, "entity_id"),
         unique_version=duplicate_keys(facts, [*schemas.PRICE_KEY, "knowledge_from"]),
-        unique_id=duplicate_keys(facts, ["fact_id"]),
+        unique_id=duplicate_keys(facts, [*schemas.PRICE_KEY, "fact_id"]),
     )
 
 

@@ -112,13 +112,13 @@ def parse_facts(
     ciks = vendor.ticker_map(maps)
     chosen = universe_documents(universe, ciks, documents).dropna()
     # Ids only, counted, so that bodies are filtered where they are read.
-    ids = cut_lineage(chosen.select("payload_id").distinct())
+    ids = cut_lineage(chosen.select("ticker", "payload_id").distinct())
     ids = broadcast_if_small(ids, ids.count(), payloads.BROADCAST_IDS)
-    wanted = documents.join(ids, "payload_id", "left_semi")
+    wanted = documents.join(ids, ["ticker", "payload_id"], "left_semi")
     names = wanted.select(
-        "payload_id", F.get_json_object(F.col("body").cast("string"), "$.entityName").alias("name")
+        "ticker", "payload_id", F.get_json_object(F.col("body").cast("string"), "$.entityName").alias("name")
     )
-    seen = scd2.one_per_cik(chosen.join(names, "payload_id"))
+    seen = scd2.one_per_cik(chosen.join(names, ["ticker", "payload_id"]))
     return (
         vendor.parse_companyfacts(wanted, metric_map),
         seen,

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from hindcast import schemas
 from hindcast.functions.scalar import require, stable_id
-from hindcast.operators.frames import broadcast_if_small
+from hindcast.operators.frames import broadcast_if_small, null_safe_join
 from hindcast.session import cut_lineage
 
 PRICE_ENDPOINTS = ["history", "prices"]
 OK = 200
-# Ids of eight bytes each: some tens of megabytes as a hashed relation.
+# Ids and instants of eight bytes each: some tens of megabytes as a hashed relation.
 BROADCAST_IDS = 1_000_000
 
 
@@ -78,12 +78,11 @@ def latest(payload: DataFrame, by: Iterable[str | Column], *, ok_only: bool = Tr
     be the latest.
     """
     rows = payload.where(F.col("http_status") == OK) if ok_only else payload
-    newest = rows.groupBy(*by).agg(
-        F.max(F.struct("fetched_at", "payload_id"))["payload_id"].alias("payload_id")
-    )
-    winners = cut_lineage(newest.select("payload_id"))
-    return rows.join(
-        broadcast_if_small(winners, winners.count(), BROADCAST_IDS), "payload_id", "left_semi"
+    newest = rows.groupBy(*by).agg(F.max(F.struct("fetched_at", "payload_id")).alias("__newest"))
+    # The instant goes with the id, so that ids that agree by chance don't let an older payload through.
+    winners = cut_lineage(newest.select("__newest.fetched_at", "__newest.payload_id"))
+    return null_safe_join(
+        rows, broadcast_if_small(winners, winners.count(), BROADCAST_IDS), ["payload_id", "fetched_at"], "left_semi"
     )
 
 

@@ -43,6 +43,20 @@ def test_similar_texts_are_found_whatever_phrase_they_repeat(spark):
     assert [found.get(k, k) for k in range(len(texts))] == roots(len(texts), pairs)
 
 
+def test_close_fingerprints_are_compared_without_a_common_sketch_key(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SKETCH_KEYS", 0)
+    random.seed(12)
+    texts = []
+    for _ in range(6):
+        common = [f"w{random.randrange(10**6)}" for _ in range(20_000)]
+        texts += [" ".join(common), " ".join([*common, "end"]), " ".join(common[:1_000])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    found = {r.k: r.group for r in simhash.similar_groups(frame, "k").collect()}
+    fps = [simhash.fingerprint_of(simhash.np.unique(simhash.shingle_hashes(t, 5))) for t in texts]
+    near = [k for k in range(0, 18, 3) if ((fps[k] ^ fps[k + 1]) & (2**64 - 1)).bit_count() <= simhash.RADIUS]
+    assert near and found == {k + own: k for k in near for own in (0, 1)}
+
+
 def leaks(spark, texts, items):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")

@@ -14,13 +14,15 @@ from hindcast.sources import payloads, vendor
 _BEST_TAG = "RevenueFromContractWithCustomerExcludingAssessedTax"
 
 
-def _log(t: Tables, rows: DataFrame, body: Column, source: str = "edgar") -> DataFrame:
+def _log(t: Tables, rows: DataFrame, body: Column, source: str = "edgar", spread: bool = True) -> DataFrame:
     """Documents like those of a landed log.
 
-    A given table is one file with one row group, which a single task reads, so the narrow rows are
-    spread before documents are made of them.
+    A given table is one file, of which a single task reads a row group, so the narrow rows are spread
+    before documents are made of them, unless enough tasks have some (`spread` is False).
     """
-    return rows.repartition(t.spark.sparkContext.defaultParallelism).select(
+    if spread:
+        rows = rows.repartition(t.spark.sparkContext.defaultParallelism)
+    return rows.select(
         "payload_id",
         F.lit(source).alias("source"),
         F.lit("companyfacts" if source == "edgar" else "history").alias("endpoint"),
@@ -185,6 +187,12 @@ def _lines(t: Tables, source: str) -> DataFrame:
     )
 
 
+def _few_tasks(t: Tables, table: DataFrame) -> bool:
+    """Whether fewer tasks than could run at once hold rows of a given table: a scan without columns."""
+    tasks = table.select(F.spark_partition_id().alias("task")).distinct().count()
+    return tasks < t.spark.sparkContext.defaultParallelism
+
+
 def csv_payloads(t: Tables) -> DataFrame:
     def line(day: Column, *cells: Column) -> Column:
         stamp = F.concat(day.cast("string"), F.lit(" 23:30:00-05:00"))
@@ -198,7 +206,7 @@ def csv_payloads(t: Tables) -> DataFrame:
         line(F.date_add("day", 1), price, empty, empty, empty, empty, empty),
         F.lit(""),
     )
-    return _log(t, _lines(t, "yfinance"), body, "yfinance")
+    return _log(t, _lines(t, "yfinance"), body, "yfinance", spread=_few_tasks(t, t.lineitem))
 
 
 def _history_sql(first_pos: int) -> str:
@@ -241,7 +249,7 @@ def price_json_payloads(t: Tables) -> DataFrame:
     body = F.concat(
         F.lit("["), first, F.lit(","), point(F.date_add("day", 1), nothing), F.lit("]")
     )
-    return _log(t, _lines(t, "tiingo"), body, "tiingo")
+    return _log(t, _lines(t, "tiingo"), body, "tiingo", spread=_few_tasks(t, t.lineitem))
 
 
 @query(_history_sql(0))

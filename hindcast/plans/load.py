@@ -179,13 +179,17 @@ def _replace_facts(
     sorted by `layout`, so that reads by those columns skip row groups. The summary compares the two
     snapshots as written, so the chain is computed once; it counts `counted` as keys processed.
     """
+    first_load = not lake.holds(table)
     before = lake.read(table, schema)
     staged = lake.stage(table, facts.sortWithinPartitions(*layout))
     after = lake.spark.read.schema(schema).parquet(staged)
     report = invariants(after, read_payloads(lake), lake.read(ENTITY, schemas.ENTITY))
     _refuse(lake, table, report, staged)
     lake.publish(staged)
-    diff = chain.version_diff(before, after, keys=key, version=version)
+    if first_load:
+        diff = after.withColumn("action", F.lit("insert"))
+    else:
+        diff = chain.version_diff(before, after, keys=key, version=version)
     return LoadSummary(**chain.load_summary(diff, counted).first().asDict())
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hindcast import schemas
-from hindcast.sources.lake import Lake
+from hindcast.sources.lake import CODEC, Lake
 
 CONTENT = schemas.table(
     "bucket int, folder string, rows bigint, keys bigint, digest bigint, batch bigint"
@@ -89,7 +89,7 @@ class BucketTable:
             dealt.hint("rebalance", "bucket", "is_open")
             .sortWithinPartitions("bucket", "is_open", *layout)
             .write.partitionBy("bucket", "is_open")
-            .parquet(folder)
+            .parquet(folder, compression=CODEC)
         )
         return folder
 

@@ -69,3 +69,33 @@ def test_entity_tables_are_reported(spark):
         "unique_cik": 1, "unique_entity": 0, "one_open_ticker": 1, "one_open_holder": 1, "no_overlap": 1,
         "window_order": 0, "known_entity": 2,
     }
+
+
+@pytest.mark.parametrize("hot_key_rows", [None, 3])
+def test_one_pass_counts_what_the_rules_find(spark, hot_key_rows):
+    random.seed(5)
+    day = [ts(f"2024-01-{k:02d}") for k in range(1, 9)] + [ts("9999-12-31")]
+    end = spark.range(1).select(schemas.open_end()).first()[0]
+    data = [
+        (random.choice(["a", "b", None, f"k{i}"]), random.choice(day[:8]), random.choice([*day[:8], end]), random.randrange(40))
+        for i in range(200)
+    ]
+    df = spark.createDataFrame(
+        [(k, f, t, i) for k, f, t, i in data],
+        "k string, knowledge_from timestamp, knowledge_to timestamp, fact_id bigint",
+    )
+    report = {r.invariant: r.violations for r in integrity.chain_report(df, ["k"], hot_key_rows=hot_key_rows).collect()}
+    assert report == {
+        "no_overlap": integrity.overlap_violations(df, ["k"], tie=["knowledge_to", "fact_id"]).count(),
+        "one_open_row": integrity.open_row_violations(df, ["k"]).count(),
+        "unique_version": integrity.duplicate_keys(df, ["k", "knowledge_from"]).count(),
+        "unique_id": integrity.duplicate_keys(df, ["k", "fact_id"]).count(),
+    }
+    assert all(report.values())
+
+
+def test_invariants_inside_a_key_move_rows_once(spark, capsys):
+    df = spark.createDataFrame([], schemas.PRICE_FACT)
+    integrity.chain_report(df, schemas.PRICE_KEY).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1

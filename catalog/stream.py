@@ -14,7 +14,7 @@ from catalog.views import Tables
 from hindcast import schemas
 from hindcast.plans import load
 from hindcast.session import ensure_checkpoint_dir
-from hindcast.sources.lake import Lake
+from hindcast.sources.lake import CODEC, Lake
 from hindcast.streaming.prices import read_price_facts, start_price_refresh
 
 _W = (
@@ -89,7 +89,7 @@ def stream_price_chain(t: Tables) -> DataFrame:
     mapping = part_mapping(t)
     log = csv_payloads(t).withColumn("run_id", F.lit("run")).select(*schemas.PAYLOAD.fieldNames())
     for half in (0, 1):
-        log.where(F.col("payload_id") % 2 == half).write.mode("append").parquet(f"{folder}/log")
+        log.where(F.col("payload_id") % 2 == half).write.mode("append").parquet(f"{folder}/log", compression=CODEC)
         stream = start_price_refresh(
             t.spark,
             f"{folder}/log",

@@ -20,9 +20,11 @@ from pyspark.sql.streaming.query import StreamingQuery
 from hindcast import schemas
 from hindcast.operators import chain
 from hindcast.sources import payloads, vendor
-from hindcast.sources.lake import Lake
+from hindcast.sources.lake import CODEC, Lake
 
 BUCKETS = 256
+# So many buckets are written from where their chains were made.
+FEW_BUCKETS = 16
 CONTENT = "price_content"
 # Where the facts of a bucket lie (NULL: it has none), and a digest of the mapping they were made with.
 _CONTENT = schemas.table("bucket int, folder string, mapping bigint")
@@ -64,7 +66,10 @@ def start_price_refresh(
         rows = spark.read.schema(staged_schema).parquet(staging).where(F.col("bucket").isin(sorted(stale)))
         folder = f"{state_path}/price_fact/load={uuid.uuid4().hex}"
         facts = chain.price_facts(rows, mapping, lag_days=lag_days, keep=["bucket"])
-        facts.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(folder)
+        # Each task of the chain adds a file to each bucket. Where that would be many, rows move once more.
+        if len(stale) > FEW_BUCKETS:
+            facts = facts.hint("rebalance", "bucket")
+        facts.write.partitionBy("bucket").parquet(folder, compression=CODEC)
         written = spark.read.schema(staged_schema).parquet(folder)
         filled = {row[0] for row in written.select("bucket").distinct().collect()}
         # A bucket without facts keeps its row, which says for which mapping it has none.
@@ -76,7 +81,7 @@ def start_price_refresh(
         parsed = vendor.parse_prices(payloads.price_payloads(batch, source), source).withColumn(
             "bucket", bucket_of(F.col("ticker"), buckets)
         )
-        parsed.write.mode("append").partitionBy("bucket").parquet(staging)
+        parsed.write.mode("append").partitionBy("bucket").parquet(staging, compression=CODEC)
         named = payloads.price_payloads(batch, source).select(bucket_of(payloads.ticker_of(), buckets))
         rebuild({row[0] for row in named.distinct().collect()})
 

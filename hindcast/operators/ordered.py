@@ -27,6 +27,8 @@ from hindcast.session import cut_lineage
 
 HOT_KEY_ROWS = 2_000_000
 CHUNK_ROWS = 500_000
+# Rows are counted by so many hashes of the key before any key is counted.
+KEY_HASHES = 16_384
 
 _CHUNK = "__chunk"
 
@@ -233,6 +235,20 @@ Body = Callable[[DataFrame, Scan], DataFrame]
 Reduce = Callable[[DataFrame], DataFrame]
 
 
+def may_be_hot(df: DataFrame, keys: Sequence[str], hot_key_rows: int) -> DataFrame | None:
+    """The rows whose key shares its hash with more than `hot_key_rows` rows, None if there are none.
+
+    Counts by hash are few, so they are combined before the shuffle, which counts of keys are not.
+    """
+    key_hash = F.pmod(F.xxhash64(*keys), F.lit(KEY_HASHES)).cast("int")
+    counts = df.groupBy(key_hash.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    # At most KEY_HASHES numbers.
+    full = [row.h for row in counts.where(F.col("n") > hot_key_rows).select("h").collect()]
+    if not full:
+        return None
+    return df.where(key_hash.isin(full)) if len(full) < KEY_HASHES // 16 else df
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_key_rows: int) -> DataFrame:
     """Keys with more than `hot_key_rows` rows, with their row count `n`."""
     return (
@@ -259,8 +275,8 @@ def split_by_heat(
 
     Looking for hot keys costs little where there can be none: `total`, a table with at least as
     many rows as `df` (its input, say), is counted first, which Parquet answers from its footers.
-    Only when it exceeds `hot_key_rows` are rows counted by key, on the key columns and
-    pre-aggregated. `hot_key_rows=None` skips both, for keys whose size is known to be bounded.
+    Only when it exceeds `hot_key_rows` are rows counted by a hash of the key, and by key where a hash
+    has too many. `hot_key_rows=None` skips all that, for keys whose size is known to be bounded.
     """
 
     def ordinary(rows: DataFrame) -> DataFrame:
@@ -268,12 +284,15 @@ def split_by_heat(
 
     if hot_key_rows is None or (df if total is None else total).count() <= hot_key_rows:
         return ordinary(df)
-    hot = hot_keys(df, keys, hot_key_rows)
+    suspects = may_be_hot(df, keys, hot_key_rows)
+    if suspects is None:
+        return ordinary(df)
+    hot = cut_lineage(hot_keys(suspects, keys, hot_key_rows))
     n_keys, n_rows = hot.agg(F.count(F.lit(1)), F.sum("n")).first()
     if not n_keys:
         return ordinary(df)
 
-    hot = broadcast_if_small(cut_lineage(hot.select(*keys)), n_keys)
+    hot = broadcast_if_small(hot.select(*keys), n_keys)
     cold = ordinary(null_safe_join(df, hot, keys, "left_anti"))
     chunked = (
         reduce_hot(null_safe_join(df, hot, keys, "left_semi"))

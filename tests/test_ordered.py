@@ -6,6 +6,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from hindcast.operators import ordered
 from hindcast.operators.ordered import (
     ChunkedScan, Scan, earlier_max, following, previous, running_max, running_sum, split_by_heat, trailing_moments,
 )
@@ -91,3 +92,11 @@ def test_trailing_moments_equal_those_of_every_frame(spark, length, hot):
         else:
             assert r.trailing_mean == pytest.approx(mean, rel=1e-12)
             assert r.trailing_m2 == pytest.approx(m2, rel=1e-9, abs=1e-6)
+
+
+def test_only_rows_of_full_hashes_are_counted_by_key(spark):
+    rows = spark.range(5_000).select(F.when(F.col("id") < 100, -1).otherwise(F.col("id")).alias("k"))
+    assert ordered.may_be_hot(rows, ["k"], 1_000) is None
+    suspects = ordered.may_be_hot(rows, ["k"], 50)
+    assert suspects.where("k = -1").count() == 100 and suspects.count() < 200
+    assert [r.k for r in ordered.hot_keys(suspects, ["k"], 50).collect()] == [-1]

@@ -374,14 +374,15 @@ def all_results(t: Tables) -> DataFrame:
     facts, prices = cut_lineage(views.fundamental_facts(t)), cut_lineage(views.price_facts(t))
     entity = views.entity(t)
     as_of = F.lit("2001-11-05 00:00:00").cast("timestamp")
+    tasks = checks.tasks_for(prices)
     return checks.union_results(
         [
-            checks.check_cross_vendor_price(prices, entity, [RULE]),
+            checks.check_cross_vendor_price(prices, entity, [RULE], tasks=tasks),
             checks.check_balance_sheet_identity(facts, entity, companyfacts_payloads(t)),
             checks.check_revenue_sanity(facts, entity),
             checks.check_period_coverage_gaps(facts, entity),
             checks.check_price_staleness(prices, entity, as_of),
-            checks.check_return_outliers(prices, entity),
+            checks.check_return_outliers(prices, entity, tasks=tasks),
             checks.check_payload_freshness(_feed_log(t), **_FRESH_OPTIONS),
             checks.check_tag_switches(facts, entity),
         ]

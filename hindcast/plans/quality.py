@@ -42,14 +42,15 @@ def all_checks(
         (F.col("source") == load.FUNDAMENTAL_SOURCE) & (F.col("endpoint") == "companyfacts")
     )
     newest = payloads.latest(documents, [load.cik_request().alias("cik")])
+    tasks = checks.tasks_for(prices)
     return checks.union_results(
         [
-            checks.check_cross_vendor_price(prices, entity, rules),
+            checks.check_cross_vendor_price(prices, entity, rules, tasks=tasks),
             checks.check_balance_sheet_identity(facts, entity, newest),
             checks.check_revenue_sanity(facts, entity),
             checks.check_period_coverage_gaps(facts, entity),
             checks.check_price_staleness(prices, entity, as_of),
-            checks.check_return_outliers(prices, entity),
+            checks.check_return_outliers(prices, entity, tasks=tasks),
             checks.check_payload_freshness(payload),
             checks.check_tag_switches(facts, entity),
         ]

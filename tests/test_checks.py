@@ -302,3 +302,15 @@ def test_downstream_of_many_roots_like_a_walk_of_the_graph(spark):
     counted = {node: sum(node == n for _, n in expected) for _, node in expected}
     assert {r.node: r.n_feeds for r in feeds.at_risk(status, graph).collect()} == counted
     assert feeds.at_risk(status.limit(0), graph).count() == 0
+
+
+def test_entities_dealt_to_tasks_give_the_same_results(spark, monkeypatch):
+    monkeypatch.setattr(checks, "TASK_ROWS", 4)
+    days = [f"2024-01-{k:02d}" for k in range(2, 20)]
+    items = [(day, source, 1.0 + 0.01 * (k % 3)) for k, day in enumerate(days) for source in ("yfinance", "tiingo")]
+    table, entity = prices(spark, items), entities(spark, 1)
+    tasks = checks.tasks_for(table)
+    assert tasks == 9
+    for check in (lambda **o: checks.check_cross_vendor_price(table, entity, RULES, **o),
+                  lambda **o: checks.check_return_outliers(table, entity, **o)):
+        assert rows(check(tasks=tasks)) == rows(check())

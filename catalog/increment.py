@@ -105,7 +105,7 @@ def stream_fact_chain(t: Tables) -> DataFrame:
     folder = f"{lake.root}/arriving"
     batches = _batches(t)
     for batch in [*batches, batches[0]]:
-        batch.coalesce(1).write.mode("append").parquet(folder)
+        batch.write.mode("append").parquet(folder)
         start_fundamental_refresh(
             lake, folder, lag_days=1, buckets=_BUCKETS, lineage_checked=False
         ).awaitTermination()

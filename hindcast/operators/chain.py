@@ -16,16 +16,20 @@ from pyspark.sql import functions as F
 from hindcast import schemas
 from hindcast.functions.calendar import knowledge_from
 from hindcast.functions.scalar import stable_id
-from hindcast.operators.frames import null_safe_join
+from hindcast.operators.frames import broadcast_if_small, null_safe_join
+from hindcast.operators.integrity import CHAIN_RULES, chain_flags, duplicate_keys
 from hindcast.operators.ordered import (
     HOT_KEY_ROWS,
     Scan,
     following,
+    hot_keys,
+    may_be_hot,
     previous,
     running_max,
     running_sum,
     split_by_heat,
 )
+from hindcast.session import cut_lineage
 
 _PERIOD = ["metric_code", "period_start", "period_end"]
 
@@ -197,6 +201,18 @@ def price_chain(
     )
 
 
+def _hot_tickers(prices: DataFrame, hot_key_rows: int | None) -> DataFrame | None:
+    """Tickers with more than `hot_key_rows` rows, to be broadcast if they are few; None without any."""
+    if hot_key_rows is None:
+        return None
+    suspects = may_be_hot(prices, ["ticker"], hot_key_rows)
+    if suspects is None:
+        return None
+    hot = cut_lineage(hot_keys(suspects, ["ticker"], hot_key_rows).select("ticker"))
+    n_tickers = hot.count()
+    return broadcast_if_small(hot, n_tickers) if n_tickers else None
+
+
 def price_facts(
     prices: DataFrame,
     entity_ticker: DataFrame,
@@ -204,17 +220,47 @@ def price_facts(
     lag_days: int,
     hot_key_rows: int | None = HOT_KEY_ROWS,
     keep: Sequence[str] = (),
+    flags: bool = False,
 ) -> DataFrame:
     """The versioned price fact table for parsed price rows of currently mapped tickers.
 
-    `keep` names columns of `prices` to carry along, such as a partition column.
+    While no entity has several open tickers, a key's rows are all of one ticker. Then rows move once,
+    by ticker, which serves the join with a mapping of any size and the chain. Tickers with more than
+    `hot_key_rows` rows are joined first and dealt by the whole key.
+
+    `keep` names columns of `prices` to carry along, such as a partition column. `flags` adds those of
+    `integrity.chain_flags`, found where the chains are made.
     """
-    current = entity_ticker.where(F.col("knowledge_to") == schemas.open_end())
-    observed = prices.join(current.select("ticker", "entity_id"), "ticker")
-    chain = price_chain(observed, lag_days=lag_days, hot_key_rows=hot_key_rows, total=prices)
-    return chain.withColumn(
-        "fact_id", stable_id(*schemas.PRICE_KEY, F.col("knowledge_from"))
-    ).select(*schemas.PRICE_FACT.fieldNames(), *keep)
+    names = [*schemas.PRICE_FACT.fieldNames(), *keep, *(CHAIN_RULES if flags else [])]
+    current = entity_ticker.where(F.col("knowledge_to") == schemas.open_end()).select("ticker", "entity_id")
+
+    def facts(versions: DataFrame) -> DataFrame:
+        return versions.withColumn("fact_id", stable_id(*schemas.PRICE_KEY, F.col("knowledge_from")))
+
+    def by_key(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+        observed = rows.join(mapping, "ticker")
+        made = facts(price_chain(observed, lag_days=lag_days, hot_key_rows=hot_key_rows))
+        if flags:
+            made = chain_flags(cut_lineage(made), schemas.PRICE_KEY, hot_key_rows=hot_key_rows)
+        return made.select(*names)
+
+    def by_ticker(rows: DataFrame) -> DataFrame:
+        keys = ["ticker", *schemas.PRICE_KEY]
+        observed = rows.join(current, "ticker").repartition("ticker")
+        made = facts(price_chain(observed, lag_days=lag_days, keys=keys, hot_key_rows=None))
+        if flags:
+            made = chain_flags(made, keys, hot_key_rows=None)
+        return made.select(*names)
+
+    if not duplicate_keys(current, ["entity_id"]).isEmpty():
+        return by_key(prices, current)
+    hot = _hot_tickers(prices, hot_key_rows)
+    if hot is None:
+        return by_ticker(prices)
+    cold = by_ticker(null_safe_join(prices, hot, ["ticker"], "left_anti"))
+    hot_rows = null_safe_join(prices, hot, ["ticker"], "left_semi")
+    hot_mapping = null_safe_join(current, hot, ["ticker"], "left_semi")
+    return cold.unionByName(by_key(hot_rows, hot_mapping))
 
 
 def unmapped_tickers(prices: DataFrame, entity_ticker: DataFrame) -> DataFrame:

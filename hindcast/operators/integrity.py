@@ -66,9 +66,10 @@ def orphans(
     """Rows whose non-NULL `column` has no parent row, among the parents equal in `within`.
 
     An id is a hash of a natural key. Parts of that key in `within` (NULLs are equal) keep another
-    key's id, equal by chance, from passing as the parent.
+    key's id, equal by chance, from passing as the parent. Parents are hardly ever repeated, so making
+    them distinct would only move them once more.
     """
-    known = parents.select(*within, F.col(parent_column).alias(column)).distinct()
+    known = parents.select(*within, F.col(parent_column).alias(column))
     return null_safe_join(rows.where(F.col(column).isNotNull()), known, [column, *within], "left_anti")
 
 
@@ -118,13 +119,16 @@ def report(**violations: DataFrame) -> DataFrame:
     return total
 
 
-def chain_report(
+CHAIN_RULES = ["no_overlap", "one_open_row", "unique_version", "unique_id"]
+
+
+def chain_flags(
     facts: DataFrame, keys: Sequence[str], *, hot_key_rows: int | None = HOT_KEY_ROWS
 ) -> DataFrame:
-    """(invariant, violations) of the four invariants inside a key, counted in one pass.
+    """`facts` with a column for each of CHAIN_RULES, true on a row that breaks the rule.
 
-    The counts are those of `overlap_violations`, `open_row_violations` and twice `duplicate_keys`, on
-    knowledge_from and on fact_id. Rows move once, with the columns of all four.
+    The true rows are as many as `overlap_violations`, `open_row_violations` and twice `duplicate_keys`,
+    on knowledge_from and on fact_id, find. Rows that already lie by `keys`, or some of them, don't move.
     """
     start, end = F.col("knowledge_from"), F.col("knowledge_to")
 
@@ -137,20 +141,30 @@ def chain_report(
             rows, __held=earlier_max(F.when(start < end, end)), __opened=running_sum(is_open)
         )
         return scanned.select(
-            (start < end) & (F.col("__held") > start),
+            *rows.columns,
+            ((start < end) & (F.col("__held") > start)).alias("no_overlap"),
             # True on the row that makes a key, a version or an id break the rule: once for each.
-            (end == schemas.open_end()) & (F.col("__opened") == 2),
-            second("knowledge_from", "knowledge_to"),
-            second("fact_id", "knowledge_from"),
-        ).toDF("no_overlap", "one_open_row", "unique_version", "unique_id")
-
-    broken = split_by_heat(
-        facts.select(*keys, "knowledge_from", "knowledge_to", "fact_id"),
-        list(keys), ["knowledge_from", "knowledge_to", "fact_id"], body,
-        total=facts, hot_key_rows=hot_key_rows,
+            ((end == schemas.open_end()) & (F.col("__opened") == 2)).alias("one_open_row"),
+            second("knowledge_from", "knowledge_to").alias("unique_version"),
+            second("fact_id", "knowledge_from").alias("unique_id"),
+        )
+
+    return split_by_heat(
+        facts, list(keys), ["knowledge_from", "knowledge_to", "fact_id"], body, hot_key_rows=hot_key_rows
     )
-    counts = broken.agg(*[F.count_if(F.col(name)).alias(name) for name in broken.columns])
-    named = [F.struct(F.lit(name).alias("invariant"), F.col(name).alias("violations")) for name in broken.columns]
+
+
+def chain_report(
+    facts: DataFrame, keys: Sequence[str], *, hot_key_rows: int | None = HOT_KEY_ROWS
+) -> DataFrame:
+    """(invariant, violations) of the four invariants inside a key, counted in one pass.
+
+    Rows move once, with the columns of all four.
+    """
+    narrow = facts.select(*keys, "knowledge_from", "knowledge_to", "fact_id")
+    broken = chain_flags(narrow, keys, hot_key_rows=hot_key_rows)
+    counts = broken.agg(*[F.count_if(F.col(name)).alias(name) for name in CHAIN_RULES])
+    named = [F.struct(F.lit(name).alias("invariant"), F.col(name).alias("violations")) for name in CHAIN_RULES]
     return counts.select(F.inline(F.array(*named)))
 
 
@@ -170,14 +184,19 @@ def fundamental_invariants(
     ).unionByName(chain_report(facts, schemas.FACT_KEY))
 
 
-def price_invariants(facts: DataFrame, payload: DataFrame, entity: DataFrame) -> DataFrame:
-    """All invariants of the price fact table in one report."""
+def price_row_invariants(facts: DataFrame, payload: DataFrame, entity: DataFrame) -> DataFrame:
+    """The invariants of the price fact table that a row breaks by itself."""
     return report(
         not_known_early=early_knowledge_violations(facts, "trade_date"),
         window_order=window_violations(facts),
         payload_lineage=lineage_violations(facts, payload),
         known_entity=orphans(facts, "entity_id", entity, "entity_id"),
-    ).unionByName(chain_report(facts, schemas.PRICE_KEY))
+    )
+
+
+def price_invariants(facts: DataFrame, payload: DataFrame, entity: DataFrame) -> DataFrame:
+    """All invariants of the price fact table in one report."""
+    return price_row_invariants(facts, payload, entity).unionByName(chain_report(facts, schemas.PRICE_KEY))
 
 
 def entity_invariants(entity: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -251,6 +251,48 @@ def test_price_revision_opens_at_the_fetch_that_found_it(spark, hot_key_rows):
     ], key=repr)
 
 
+@pytest.mark.parametrize("flags", [False, True])
+def test_price_rows_move_once_beside_a_mapping_of_any_size(spark, flags):
+    """Rows and mapping by ticker; neither the chain nor the rules inside a key move rows again."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        facts = chain.price_facts(
+            price_rows(spark, [("2024-01-02", 1.0, 1.0, "2024-02-01")]), mapped(spark), lag_days=1, flags=flags
+        )
+        plan = facts._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+        assert facts.count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("hot_key_rows", [None, 1, 3])
+def test_prices_of_several_tickers_of_an_entity_make_one_chain(spark, hot_key_rows):
+    """AAPL and APL have one entity in the first mapping, entities of their own in the second."""
+    observed = price_rows(spark, [
+        ("2024-01-02", 10.0, 10.0, "2024-02-01"),
+        ("2024-01-02", 11.0, 11.0, "2024-02-03"),
+        ("2024-01-02", 12.0, 12.0, "2024-02-04"),
+        ("2024-01-02", 13.0, 13.0, "2024-02-05"),
+    ])
+    late = price_rows(spark, [("2024-01-02", 10.0, 10.0, "2024-02-02")])
+    observed = observed.unionByName(late.withColumns({"ticker": F.lit("APL"), "payload_id": F.lit(9).cast("bigint")}))
+
+    def closes(entity_id: int) -> list:
+        other = mapped(spark).where("ticker = 'AAPL'").withColumns(
+            {"ticker": F.lit("APL"), "entity_id": F.lit(entity_id).cast("bigint")}
+        )
+        facts = chain.price_facts(
+            observed, mapped(spark).unionByName(other), lag_days=1, hot_key_rows=hot_key_rows, flags=True
+        )
+        assert facts.where(" or ".join(integrity.CHAIN_RULES)).count() == 0
+        return [tuple(r) for r in facts.select("entity_id", "close").orderBy("entity_id", "knowledge_from").collect()]
+
+    assert closes(1) == [(1, 10.0), (1, 11.0), (1, 12.0), (1, 13.0)]
+    assert closes(3) == [(1, 10.0), (1, 11.0), (1, 12.0), (1, 13.0), (3, 10.0)]
+
+
 def test_prices_of_unmapped_tickers_are_reported(spark):
     observed = price_rows(spark, [("2024-01-02", 1.0, 1.0, "2024-02-01")]).withColumn(
         "ticker", F.lit("OLD")

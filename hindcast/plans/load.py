@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,6 @@ LANDING_SCHEMA = T.StructType(
     ]
 )
 STG = "stg.fundamental_fact"
-STG_PRICE = "stg.price_row"
 ENTITY = "core.entity"
 TICKER = "core.entity_ticker"
 FUNDAMENTAL = "core.fundamental_fact"
@@ -173,7 +172,7 @@ def _replace_facts(
     lake: Lake, table: str, facts: DataFrame, schema, key: list[str], version: str,
     counted: list[str], invariants, layout: list[str],
 ) -> LoadSummary:
-    """Stage a recomputed table, check every invariant on it, publish it, report what changed.
+    """Stage a recomputed table, check every invariant of it, publish it, report what changed.
 
     A table that breaks an invariant is never published: readers keep the one before. Files are
     sorted by `layout`, so that reads by those columns skip row groups. The summary compares the two
@@ -211,22 +210,27 @@ def load_fundamentals(lake: Lake, lag_days: int) -> LoadSummary:
 def load_prices(lake: Lake, source: str, lag_days: int) -> LoadSummary:
     """Rebuild one source's part of the price fact table from its payloads."""
     with tracked_run(lake, f"load-prices:{source}") as run:
+        # Not stored: the exchange of the chain holds the rows once, and counts don't parse cells.
         parsed = vendor.parse_prices(
             payloads.price_payloads(read_payloads(lake), source), source
         )
-        # Staged once, so that bodies are parsed once however often the rows are read.
-        staged = f"{STG_PRICE}.{source}"
-        lake.replace(staged, parsed.select(*schemas.PRICE_ROW.fieldNames()))
-        observed = lake.read(staged, schemas.PRICE_ROW)
-        run.rows_in = observed.count()
-        facts = chain.price_facts(
-            observed,
-            lake.read(TICKER, schemas.ENTITY_TICKER),
-            lag_days=lag_days,
+        run.rows_in = parsed.count()
+        flagged = chain.price_facts(
+            parsed, lake.read(TICKER, schemas.ENTITY_TICKER), lag_days=lag_days, flags=True
         )
+        rules = integrity.CHAIN_RULES
+        broken = Observation()
+        counts = [F.count_if(F.col(rule)).alias(rule) for rule in rules]
+        facts = flagged.observe(broken, *counts).drop(*rules)
+
+        def invariants(after: DataFrame, payload: DataFrame, entity: DataFrame) -> DataFrame:
+            # Rules inside a key were counted on the rows as they were written.
+            chains = lake.spark.createDataFrame(list(broken.get.items()), "invariant string, violations bigint")
+            return integrity.price_row_invariants(after, payload, entity).unionByName(chains)
+
         return _replace_facts(
             lake, f"{PRICE}.{source}", run.counting(facts), schemas.PRICE_FACT,
-            schemas.PRICE_KEY, "knowledge_from", ["entity_id"], integrity.price_invariants,
+            schemas.PRICE_KEY, "knowledge_from", ["entity_id"], invariants,
             ["entity_id", "trade_date", "knowledge_from"],
         )
 

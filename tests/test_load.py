@@ -126,6 +126,25 @@ def test_a_refused_load_is_not_published(spark, lake):
     assert rows(load.read_prices(lake, ["yfinance"])) == before
 
 
+def test_rules_inside_a_key_are_counted_while_prices_are_written(spark, lake, monkeypatch):
+    load.run_parse(lake, universe(spark, "AAPL"), METRICS)
+
+    def again(*_, **__):
+        raise AssertionError("rows of the written table are moved once more")
+
+    monkeypatch.setattr(integrity, "chain_report", again)
+    assert load.load_prices(lake, "yfinance", 1) == load.LoadSummary(1, 2, 0, 0)
+    assert [(r.rows_in, r.rows_out) for r in lineage.runs(lake).where("pipeline like 'load-prices%'").collect()] == [(2, 2)]
+    before = rows(load.read_prices(lake, ["yfinance"]))
+    # Two prices that differ, found at one instant.
+    for close in ("1.75,1.5", "1.75,0.85"):
+        csv = CSV.replace("1.75,1.7", close)
+        load.land(lake, fetched(spark, [("history", {"ticker": "AAPL"}, "2024-03-01", 200, csv)]), "yfinance")
+    with pytest.raises(ValueError, match="unique_version"):
+        load.load_prices(lake, "yfinance", 1)
+    assert rows(load.read_prices(lake, ["yfinance"])) == before
+
+
 def test_two_tickers_of_a_company_make_one_entity(spark, tmp_path):
     lake = Lake(spark, str(tmp_path))
     both = {"0": {"cik_str": 7, "ticker": "GA", "title": "G"}, "1": {"cik_str": 7, "ticker": "GB", "title": "G"}}

@@ -7,6 +7,7 @@ import collections
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -323,6 +324,37 @@ def test_features_of_long_texts_are_those_of_their_parts(monkeypatch):
     assert (toxicity.features(text) == whole).all()
 
 
+def plain_buckets(text: str | None) -> set[int]:
+    """Buckets of a text's n-grams, one by one."""
+    codes = [ord(c) for c in f" {re.sub(r'\s+', ' ', (text or '').lower()).strip()} "]
+    factor, whole = int(toxicity._FACTOR), 2**64 - 1
+    mixed = [(c + 1) * factor & whole for c in codes]
+    mixed = [m ^ m >> 29 for m in mixed]
+    found = set()
+    for n in toxicity.SIZES:
+        for at in range(len(codes) - n + 1):
+            value = n
+            for m in mixed[at : at + n]:
+                value = (value ^ m) * factor & whole
+                value ^= value >> 32
+            found.add(value % toxicity.BUCKETS)
+    return found
+
+
+@pytest.mark.parametrize("chunk", [7, 97, 32_768])
+def test_kept_features_of_texts_hashed_together(monkeypatch, chunk):
+    """No text gets n-grams of the next one, nor loses those at a border of two chunks."""
+    monkeypatch.setattr(toxicity, "CHUNK", chunk)
+    texts = ["one text", None, "", "a", "another\u3000 text\x1c", "ends with on", "e text", "longer " * 40, "one text"]
+    each = [plain_buckets(text) for text in texts]
+    buckets = np.array(sorted(set().union(*each))[::2])
+    table = toxicity.Model(buckets, np.zeros(len(buckets)), 0.0).lookup()
+    assert table.nbytes == 2 * toxicity.BUCKETS
+    for text, own, found in zip(texts, each, toxicity.kept_features(texts, table), strict=True):
+        assert set(toxicity.features(text).tolist()) == own
+        assert buckets[found].tolist() == sorted(own & set(buckets.tolist()))
+
+
 @pytest.mark.parametrize("tests, bits", [(0, 24), (3, 24), (12, 64)])
 def test_similar_sets_meet_whatever_the_tests(monkeypatch, tests, bits):
     """Every link of two blocks is found, by single tests or by comparing with all rows at once."""
